@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagekg.llm import canonical, sameness
+from passagekg.llm import canonical, sameness, split
 from passagekg.runtime import table
 
 
@@ -25,11 +25,31 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sameness.canonical(sameness.passage_values(table(spark, sf_dir, "passages")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.oversized(table(spark, sf_dir, "papers"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.section_pieces(table(spark, sf_dir, "papers"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_misses": p2_misses,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p6_found": p6_found,
     "p6_canonical": p6_canonical,
 }
 
-ORACLES: dict[str, str] = {}
+_SPACE = "\\t\\n\\v\\f\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+ORACLES: dict[str, str] = {
+    "p3_found": f"""
+WITH secs AS (SELECT paper_id, i AS section_ix, sections[i + 1].text AS text FROM (SELECT paper_id, sections, unnest(range(CAST(len(sections) AS BIGINT))) AS i FROM papers)),
+runs AS (SELECT paper_id, section_ix, string_split(text, chr(10)) AS parts FROM secs WHERE text IS NOT NULL),
+placed AS (SELECT paper_id, section_ix, parts[k] AS run, list_sum(list_transform(parts[:k - 1], lambda x: length(x) + 1)) AS before FROM (SELECT *, unnest(range(1, CAST(len(parts) AS BIGINT) + 1)) AS k FROM runs)),
+trimmed AS (SELECT *, length(run) - length(regexp_replace(run, '^[{_SPACE}]+', '')) AS lead, length(regexp_replace(regexp_replace(run, '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '')) AS size FROM placed)
+SELECT DISTINCT paper_id, CAST(section_ix AS INTEGER) AS section_ix, CAST(coalesce(before, 0) + lead AS INTEGER) AS para_start FROM trimmed WHERE size > 2500
+""",
+}
