@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagekg.llm import canonical, sameness, split
+from passagekg.llm import canonical, sameness, split, stuffing
 from passagekg.runtime import table
 
 
@@ -33,6 +33,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.section_pieces(table(spark, sf_dir, "papers"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.flagged(table(spark, sf_dir, "documents"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_misses": p2_misses,
@@ -40,6 +48,8 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p6_found": p6_found,
     "p6_canonical": p6_canonical,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
 }
 
 _SPACE = "\\t\\n\\v\\f\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
