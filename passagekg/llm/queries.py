@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagekg.llm import canonical, sameness, split, stuffing
+from passagekg.llm import canonical, entity_match, sameness, split, stuffing
 from passagekg.runtime import table
 
 
@@ -41,11 +41,25 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.scores(table(spark, sf_dir, "documents"))
 
 
+def _p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.matches(*(table(spark, sf_dir, n) for n in ("gold", "digimof_synmof_merged", "canon_entities", "metal_symbols")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4_matches(spark, sf_dir).select("passage_id", "refcode")
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.one_to_one(_p4_matches(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_misses": p2_misses,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
     "p6_found": p6_found,
     "p6_canonical": p6_canonical,
     "p9_found": p9_found,
