@@ -64,7 +64,7 @@ _WATER = re.compile(r"(?<=[\w)\]]) ?(?:[·.*•∙⋅×]| x) ?\(?\d*(?:\.\d+)? ?
 _ROMAN = re.compile(r" ?\((i{1,3}|iv|vi{0,3})\)(?!\w)")
 _CODE = re.compile(r"(?:(nh2|amino|oh|hydroxy|no2|nitro|br|bromo)[ _-]+)?([a-z]{2,4})[ _-]{0,3}(\d+)(?:[ _-]{0,3}\(?(nh2|oh|no2|br)\)?|[ _-]?\(([a-z]{2})\)|[ _-]([a-z]{2}))?")
 _GROUP = {"amino": "nh2", "hydroxy": "oh", "nitro": "no2", "bromo": "br"}
-_WORDS = re.compile(r"[a-z]+|\d+|[\[\]']")
+_WORDS = re.compile(r"[a-z]+|\d+|'")
 _ROMANS = re.compile(r"\b(?:i{1,3}|iv|vi{0,3})\b")
 _GROUPS = re.compile(r"(?:meth|eth|prop|but|pent|hex|phen|benz)yl|amino|nitros?o?|hydroxy|bromo|chloro|fluoro|iodo|mercapto|nitrite|nitrate|sulf[aiu]|phosph|methoxy|ethoxy|carboxy")
 _STOP = frozenset("of the a an at by and with to via".split())
