@@ -27,8 +27,12 @@ from passagekg.llm.tokens import n_tokens
 from passagekg.runtime import stage_table
 
 CAPACITY = 2_048
-ROUNDS = 400
-STEP = 0.35
+#: Most rounds of multiplicative weights, their step, how much larger items are favoured, and the least share of a
+#: container that a pattern must fill.
+ROUNDS = 900
+STEP = 0.01
+CONVEXITY = 1.002
+FULL = 0.998
 #: Texts per rank bucket.
 BUCKET = 200_000
 
@@ -57,39 +61,34 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Coun
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
-    """Fractional solution of the configuration LP [(pattern, times)] and a lower bound on containers.
+    """Solution of the configuration LP [(pattern, times)] and a lower bound on containers.
 
-    Multiplicative weights: a length's weight falls as it gets covered; each round adds the pattern of greatest weight
-    as often as its scarcest length allows, within a step.
+    Multiplicative weights: a length's weight is its size times an exponential of the share of its items that is still
+    uncovered. Each round prices the best pattern by the knapsack and adds it as often as its scarcest length
+    allows, which covers a length. Rounds end when the best pattern no longer fills a container: the rest is left to
+    rounding.
     """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[int(x)] for x in lengths], dtype=float)
-    weight = lengths / capacity
-    covered = np.zeros(len(lengths))
-    used: list[tuple[Counter, float]] = []
+    left = need.copy()
     bound = float((need * lengths).sum() / capacity)
+    out: list[tuple[dict[int, int], float]] = []
     for _ in range(rounds):
-        pattern = best_pattern(lengths, weight, capacity)
-        ix = np.array(sorted(pattern))
-        copies = np.array([pattern[i] for i in ix], dtype=float)
-        value = float((weight[ix] * copies).sum())
-        bound = max(bound, float((weight * need).sum() / value)) if value > 0 else bound
-        times = float((need[ix] / copies).min()) * STEP
-        used.append((pattern, times))
-        covered[ix] += copies * times / need[ix]
-        weight[ix] *= np.exp(-STEP * copies * times / need[ix] / max(1e-9, (copies * times / need[ix]).max()))
-        if covered.min() >= 1.0:
+        open_ = np.nonzero(left >= 1)[0]
+        if not len(open_):
             break
-    # weights only steer the choice of patterns: what they cover beyond need is taken back pattern by pattern
-    left = need.copy()
-    out: list[tuple[dict[int, int], float]] = []
-    for pattern, times in used:
+        weight = (lengths[open_] / capacity) ** CONVEXITY * np.exp(STEP * left[open_] / need[open_])
+        pattern = best_pattern(lengths[open_], weight, capacity)
+        if len(open_) == len(lengths):
+            value = sum(weight[i] * k for i, k in pattern.items())
+            bound = max(bound, float((weight * need).sum() / value))
         ix = np.array(sorted(pattern))
-        copies = np.array([pattern[i] for i in ix], dtype=float)
-        times = min(times, float((left[ix] / copies).min()))
-        if times >= 1:
-            left[ix] -= copies * times
-            out.append(({int(lengths[i]): int(pattern[i]) for i in ix}, times))
+        copies = np.minimum([pattern[i] for i in ix], left[open_[ix]])
+        if (lengths[open_[ix]] * copies).sum() < FULL * capacity:
+            break
+        times = float((left[open_[ix]] / copies).min())
+        left[open_[ix]] -= copies * times
+        out.append(({int(lengths[open_[i]]): int(k) for i, k in zip(ix, copies, strict=True)}, times))
     return out, bound
 
 

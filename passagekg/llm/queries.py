@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagekg.llm import canonical, entity_match, sameness, split, stuffing
+from passagekg.llm import canonical, entity_match, mixing, packing, sameness, split, stuffing
 from passagekg.runtime import table
 
 
@@ -53,6 +53,22 @@ def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_match.one_to_one(_p4_matches(spark, sf_dir))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.summary(p7_containers(spark, sf_dir))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_misses": p2_misses,
@@ -62,6 +78,10 @@ QUERIES = {
     "p4_matches": p4_matches,
     "p6_found": p6_found,
     "p6_canonical": p6_canonical,
+    "p7_containers": p7_containers,
+    "p7_summary": p7_summary,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
