@@ -27,12 +27,13 @@ from passagekg.llm.tokens import n_tokens
 from passagekg.runtime import stage_table
 
 CAPACITY = 2_048
-#: Most rounds of multiplicative weights, their step, how much larger items are favoured, and the least share of a
-#: container that a pattern must fill.
+#: Most rounds of multiplicative weights and their step.
 ROUNDS = 900
 STEP = 0.01
-CONVEXITY = 1.002
-FULL = 0.998
+#: How much larger items are favoured in pricing, and the least share of a container that a pattern must fill.
+#: The second pair is tried only where the first is not within ``NEAR`` of the lower bound.
+SETTINGS = ((1.002, 0.998), (1.1, 0.97))
+NEAR = 1.0005
 #: Texts per rank bucket.
 BUCKET = 200_000
 
@@ -60,7 +61,7 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Coun
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, setting: tuple[float, float] = SETTINGS[0]) -> tuple[list[tuple[dict[int, int], float]], float]:
     """Solution of the configuration LP [(pattern, times)] and a lower bound on containers.
 
     Multiplicative weights: a length's weight is its size times an exponential of the share of its items that is still
@@ -68,6 +69,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
     allows, which covers a length. Rounds end when the best pattern no longer fills a container: the rest is left to
     rounding.
     """
+    convexity, full = setting
     lengths = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[int(x)] for x in lengths], dtype=float)
     left = need.copy()
@@ -77,14 +79,14 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         open_ = np.nonzero(left >= 1)[0]
         if not len(open_):
             break
-        weight = (lengths[open_] / capacity) ** CONVEXITY * np.exp(STEP * left[open_] / need[open_])
+        weight = (lengths[open_] / capacity) ** convexity * np.exp(STEP * left[open_] / need[open_])
         pattern = best_pattern(lengths[open_], weight, capacity)
         if len(open_) == len(lengths):
             value = sum(weight[i] * k for i, k in pattern.items())
             bound = max(bound, float((weight * need).sum() / value))
         ix = np.array(sorted(pattern))
         copies = np.minimum([pattern[i] for i in ix], left[open_[ix]])
-        if (lengths[open_[ix]] * copies).sum() < FULL * capacity:
+        if (lengths[open_[ix]] * copies).sum() < full * capacity:
             break
         times = float((left[open_[ix]] / copies).min())
         left[open_[ix]] -= copies * times
@@ -122,6 +124,19 @@ def round_off(histogram: dict[int, int], fractional: list[tuple[dict[int, int],
     return out
 
 
+def patterns_of(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """The best whole solution over ``SETTINGS`` (and plain best fit, when no pattern fills a container)."""
+    best: list[tuple[dict[int, int], int]] | None = None
+    for setting in SETTINGS:
+        fractional, bound = solve(histogram, capacity, setting=setting)
+        found = round_off(histogram, fractional, capacity)
+        if best is None or sum(k for _, k in found) < sum(k for _, k in best):
+            best = found
+        if sum(k for _, k in best) <= max(bound * NEAR, bound + 1):
+            break
+    return best or []
+
+
 def pattern_slots(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, from_rank, to_rank, copies, first_container): where the texts of a length go, by rank."""
     at: Counter = Counter()
@@ -166,8 +181,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if not histogram:
         return items.withColumn("container", F.lit(0).cast("bigint"))
     full = histogram.pop(capacity, 0)
-    fractional, _ = solve(histogram, capacity) if histogram else ([], 0.0)
-    patterns = round_off(histogram, fractional, capacity)
+    patterns = patterns_of(histogram, capacity) if histogram else []
     if full:
         patterns.append(({capacity: 1}, full))
     slots = spark.createDataFrame(pattern_slots(patterns), "size int, lo bigint, hi bigint, copies int, first bigint")
