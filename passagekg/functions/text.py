@@ -210,5 +210,5 @@ def phrase_regex(phrases: tuple[str, ...], left: bool = True, right: bool = True
     parts = []
     for p in phrases:
         literal = re.sub(r"([\\.^$|?*+()\[\]{}&#~-])", r"\\\1", p)
-        parts.append((r"\b" if left and p[0].isalnum() else "") + literal + (r"\b" if right and p[-1].isalnum() else ""))
+        parts.append((f"(?<!{WORD})" if left and p[0].isalnum() else "") + literal + (f"(?!{WORD})" if right and p[-1].isalnum() else ""))
     return "(?iU)" + "|".join(parts)
