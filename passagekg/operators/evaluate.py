@@ -166,28 +166,25 @@ def value_mismatches(predicted: DataFrame, gold: DataFrame, relations: tuple[str
 
     Exact names; the subject concession does not apply here. Per (group, subject) the least of both leftovers.
     """
-    mk = _match_key(SUBJECT_AGNOSTIC)
     gk = F.sha2(F.to_json(F.struct(*GROUP), {"ignoreNullFields": "false"}), 256)
-    side = lambda df: keyed(df.where(F.col("relation").isin(*relations))).withColumn("mk", F.coalesce(mk, F.lit(""))).withColumn("gk", gk)
-    subject = F.concat_ws("\u0001", "subject_type", "s_key").alias("sk")
-    p = side(predicted).groupBy("extractor", "relation", "gk", "mk", subject, (F.col("s_key") != "").alias("named")).agg(F.count("*").alias("n"))
-    g = side(gold).groupBy("gk", "mk", subject, (F.col("s_key") != "").alias("named")).agg(F.count("*").alias("n"))
-    # matches per key, taken from the subjects of that key in order of the subject
-    over = Window.partitionBy("extractor", "gk", "mk").orderBy("sk").rowsBetween(Window.unboundedPreceding, -1)
-    g_total = g.groupBy("gk", "mk").agg(F.sum("n").alias("all"))
-    p_total = p.groupBy("extractor", "relation", "gk", "mk").agg(F.sum("n").alias("all"))
-    pm = p.join(g_total, ["gk", "mk"], "left").withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0)))
-    hit = F.when(F.col("mk") == "", 0).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("all", F.lit(0)) - F.col("before"))))
-    fp = pm.where("named").withColumn("left", F.col("n") - hit).groupBy("extractor", "relation", "gk", "sk").agg(F.sum("left").alias("fp")).where("fp > 0")
-    gm = p_total.select("extractor", "relation", "gk", "mk", "all").join(g.withColumnRenamed("n", "gn"), ["gk", "mk"])
-    over_g = Window.partitionBy("extractor", "gk", "mk").orderBy("sk").rowsBetween(Window.unboundedPreceding, -1)
-    gm = gm.withColumn("before", F.coalesce(F.sum("gn").over(over_g), F.lit(0)))
-    used = F.when(F.col("mk") == "", 0).otherwise(F.greatest(F.lit(0), F.least(F.col("gn"), F.col("all") - F.col("before"))))
-    taken = gm.where("named").withColumn("used", used).groupBy("extractor", "gk", "sk").agg(F.sum("used").alias("used"))
-    g_all = g.where("named").groupBy("gk", "sk").agg(F.sum("n").alias("n_gold"))
-    pair = fp.join(g_all, ["gk", "sk"]).join(taken, ["extractor", "gk", "sk"], "left")
-    n = F.least(F.col("fp"), F.col("n_gold") - F.coalesce("used", F.lit(0)))
-    return pair.withColumn("m", n).where("m > 0").groupBy("extractor", "relation").agg(F.sum("m").alias("n"))
+    subject = F.when(F.col("s_key") != "", F.concat_ws("\u0001", "subject_type", "s_key"))
+
+    def side(df: DataFrame, *extra: str) -> DataFrame:
+        k = keyed(df.where(F.col("relation").isin(*relations))).withColumn("mk", _match_key(SUBJECT_AGNOSTIC))
+        k = k.select(*extra, "relation", gk.alias("gk"), "mk", subject.alias("sk"), "line_no", "triple_ix")
+        # of equal triples the first ones are matched, on both sides
+        return k.withColumn("rn", F.row_number().over(Window.partitionBy(*extra, "gk", "mk").orderBy("line_no", "triple_ix")))
+
+    p, g = side(predicted, "extractor"), side(gold)
+    n_gold = g.where("mk IS NOT NULL").groupBy("gk", "mk").agg(F.count("*").alias("n"))
+    n_pred = p.where("mk IS NOT NULL").groupBy("extractor", "gk", "mk").agg(F.count("*").alias("n"))
+    over = (F.col("mk").isNull()) | (F.col("rn") > F.coalesce("n", F.lit(0)))
+    fp = p.join(n_gold, ["gk", "mk"], "left").where(over & F.col("sk").isNotNull()).groupBy("extractor", "relation", "gk", "sk").agg(F.count("*").alias("fp"))
+    used = g.join(n_pred, ["gk", "mk"]).where("rn <= n AND sk IS NOT NULL").groupBy("extractor", "gk", "sk").agg(F.count("*").alias("used"))
+    stated = g.where("sk IS NOT NULL").groupBy("gk", "sk").agg(F.count("*").alias("n_gold"))
+    pair = fp.join(stated, ["gk", "sk"]).join(used, ["extractor", "gk", "sk"], "left")
+    m = F.least(F.col("fp"), F.col("n_gold") - F.coalesce("used", F.lit(0)))
+    return pair.withColumn("m", m).where("m > 0").groupBy("extractor", "relation").agg(F.sum("m").alias("n"))
 
 
 def run_summary(results: DataFrame) -> DataFrame:
