@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagekg.plans import problems
+from passagekg.plans import graph_queries, problems, text_queries
 
-_MODULES = (problems,)
+_MODULES = (problems, text_queries, graph_queries)
 
 
 def queries() -> dict:
