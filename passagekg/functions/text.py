@@ -206,9 +206,17 @@ def span_of(span: Column) -> Column:
 
 
 def phrase_regex(phrases: tuple[str, ...], left: bool = True, right: bool = True) -> str:
-    """P10: alternation over literal phrases, with word boundaries only where the edge is a letter or digit."""
-    parts = []
+    """P10: pattern over literal lower-case phrases, to be applied to lower-cased text.
+
+    A word boundary is asked for only where the phrase's edge is a letter or digit. Phrases of one kind of edge
+    share one boundary and start with a look at their first letters, so most positions are rejected at once.
+    """
+    kinds: dict[tuple[bool, bool], list[str]] = {}
     for p in phrases:
-        literal = re.sub(r"([\\.^$|?*+()\[\]{}&#~-])", r"\\\1", p)
-        parts.append((f"(?<!{WORD})" if left and p[0].isalnum() else "") + literal + (f"(?!{WORD})" if right and p[-1].isalnum() else ""))
-    return "(?iU)" + "|".join(parts)
+        kinds.setdefault((left and p[0].isalnum(), right and p[-1].isalnum()), []).append(p)
+    parts = []
+    for (before, after), group in kinds.items():
+        literal = "|".join(re.sub(r"([\\.^$|?*+()\[\]{}&#~-])", r"\\\1", p) for p in group)
+        first = "".join(sorted({re.sub(r"([\\\]\[^&-])", r"\\\1", p[0]) for p in group}))
+        parts.append(f"(?=[{first}])" + (f"(?<!{WORD})" if before else "") + f"(?:{literal})" + (f"(?!{WORD})" if after else ""))
+    return "|".join(parts)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from passagekg.functions.text import with_key
 from passagekg.operators.ontology import PROVENANCE
+from passagekg.runtime import stage_table
 
 
 @dataclass(frozen=True)
@@ -83,8 +84,10 @@ def paper_table(rows: DataFrame, papers: DataFrame) -> DataFrame:
     return rows.select("paper_id").distinct().join(known, "paper_id", "left")
 
 
-def build(triples: DataFrame, papers: DataFrame) -> Graph:
+def build(triples: DataFrame, papers: DataFrame, staged: bool = False) -> Graph:
     rows = accepted(load_rows(triples))
+    if staged:  # four tables come from the keyed rows: key them once
+        rows = stage_table(rows, "graph-rows")
     return Graph(node_table(rows), edge_table(rows), mention_table(rows), paper_table(rows, papers))
 
 
@@ -127,15 +130,53 @@ def _names(g: Graph, label: str, key: str, name: str) -> DataFrame:
 
 
 def solvent_temperature_by_linker(g: Graph, limit: int = 50) -> DataFrame:
-    """K1. Counted on keys before names are joined: (linker, method) pairs are reduced to distinct frameworks first."""
+    """K1: frameworks per (linker, solvent, condition), the most common first.
+
+    Solvents and conditions hang on shared routes, so naively every route multiplies its solvents by its conditions
+    by its frameworks. Here solvents (conditions) attached to the same set of routes are one class; a pair of
+    classes matters only through the routes they share, and frameworks are counted once per (linker, shared set).
+    Names are expanded last. Of each class only the first ``limit`` names can appear among the first ``limit``
+    rows, as every later name has that many before it with the same count, so the cut is exact.
+    """
     per = _of_mof(g, "USES_LINKER", "linker_key", "OrganicLinker").join(_of_mof(g, "SYNTHESIZED_BY", "method", "SynthesisMethod"), "mof")
-    s = _of_method(g, "IN_SOLVENT", "solvent_key", "Solvent").join(_names(g, "Solvent", "solvent_key", "solvent"), "solvent_key").select("method", "solvent")
-    c = _of_method(g, "AT_CONDITION", "condition_key", "Condition").join(_names(g, "Condition", "condition_key", "condition"), "condition_key").select("method", "condition")
-    rows = per.join(s, "method", "left").join(c, "method", "left").join(_names(g, "OrganicLinker", "linker_key", "linker"), "linker_key").join(_names(g, "MOF", "mof", "mof_name"), "mof")
-    done = rows.groupBy("linker", F.coalesce("solvent", F.lit("unspecified")).alias("solvent"), F.coalesce("condition", F.lit("unspecified")).alias("condition")).agg(
-        F.countDistinct("mof").alias("n_mofs"), F.slice(F.array_sort(F.collect_set("mof_name")), 1, 5).alias("example_mofs")
-    )
-    return done.orderBy(F.desc("n_mofs"), "linker", "solvent", "condition").limit(limit)
+    per = per.join(_names(g, "OrganicLinker", "linker_key", "linker"), "linker_key").select("mof", "method", "linker").distinct()
+    routes = per.select("method").distinct()
+
+    def classes(rel: str, label: str, out: str) -> DataFrame:
+        """(out_set: sorted routes, out_names: first names) of every class, 'unspecified' for routes without any."""
+        named = _of_method(g, rel, "k", label).join(_names(g, label, "k", "name"), "k").select("method", "name").distinct()
+        full = routes.join(named, "method", "left").withColumn("name", F.coalesce("name", F.lit("unspecified")))
+        sets = full.groupBy("name").agg(F.array_sort(F.collect_set("method")).alias(f"{out}_set"))
+        return sets.groupBy(f"{out}_set").agg(F.slice(F.array_sort(F.collect_list("name")), 1, limit).alias(f"{out}_names"))
+
+    s, c = classes("IN_SOLVENT", "Solvent", "s"), classes("AT_CONDITION", "Condition", "c")
+    meet = s.select("s_set", F.explode("s_set").alias("m")).join(c.select("c_set", F.explode("c_set").alias("m")), "m").select("s_set", "c_set").distinct()
+    meet = meet.withColumn("shared", F.array_intersect("s_set", "c_set"))
+    meet = stage_table(meet.withColumn("sid", F.sha1(F.array_join("shared", "\u0001"))), "linker-classes")
+    per = stage_table(per, "linker-frameworks")
+    sets = meet.select("sid", "shared").dropDuplicates(["sid"]).select("sid", F.explode("shared").alias("method"))
+    # bounds from counts per (linker, route): a union is at least its largest part and at most the sum of its parts
+    sizes = stage_table(per.groupBy("linker", "method").agg(F.count("*").alias("n")), "linker-sizes")
+    # a linker gives at least one row with its largest route; one with fewer frameworks in all cannot appear
+    enough = sizes.groupBy("linker").agg(F.max("n").alias("n")).orderBy(F.desc("n")).limit(limit).agg(F.when(F.count("*") == limit, F.min("n")).otherwise(0).alias("enough"))
+    totals = per.groupBy("linker").agg(F.countDistinct("mof").alias("total"))
+    large = totals.join(F.broadcast(enough), F.col("total") >= F.col("enough")).select("linker")  # one row
+    sizes = sizes.join(large, "linker")
+    bounds = stage_table(sets.join(sizes, "method").groupBy("linker", "sid").agg(F.max("n").alias("least"), F.sum("n").alias("most")), "linker-bounds")
+    # every (linker, set) gives at least one row, so a set that cannot reach the limit-th lower bound cannot appear
+    floor = bounds.orderBy(F.desc("least")).limit(limit).agg(F.min("least").alias("floor"))
+    open_ = bounds.join(F.broadcast(floor), F.col("most") >= F.col("floor")).select("linker", "sid")  # one row
+    counted = open_.join(sets, "sid").join(per, ["linker", "method"]).groupBy("linker", "sid").agg(F.countDistinct("mof").alias("n_mofs"))
+    counted = stage_table(counted, "linker-counts")
+    last = counted.orderBy(F.desc("n_mofs")).limit(limit).agg(F.min("n_mofs").alias("floor"))
+    kept = counted.join(F.broadcast(last), F.col("n_mofs") >= F.col("floor")).drop("floor")
+    pairs = kept.join(meet, "sid").join(s, "s_set").join(c, "c_set")
+    rows = pairs.select("linker", "shared", "n_mofs", F.explode("s_names").alias("solvent"), "c_names").select("linker", "shared", "n_mofs", "solvent", F.explode("c_names").alias("condition"))
+    first = rows.orderBy(F.desc("n_mofs"), "linker", "solvent", "condition").limit(limit)
+    named = per.join(_names(g, "MOF", "mof", "mof_name"), "mof")
+    shown = first.withColumn("method", F.explode("shared")).join(named, ["method", "linker"]).groupBy("linker", "solvent", "condition", "n_mofs")
+    done = shown.agg(F.slice(F.array_sort(F.collect_set("mof_name")), 1, 5).alias("example_mofs"))
+    return done.orderBy(F.desc("n_mofs"), "linker", "solvent", "condition")
 
 
 def method_distribution(g: Graph) -> DataFrame:

@@ -27,7 +27,7 @@ def _counts(spark, sf):
 
 def _graph(spark, sf, staged: bool = False) -> graph.Graph:
     t = graph.with_ordinal(_pred(spark, sf))
-    g = graph.build(t, table(spark, sf, "papers"))
+    g = graph.build(t, table(spark, sf, "papers"), staged)
     if staged:  # several tables of the graph are read by one query: build each once
         return graph.Graph(*(stage_table(x, "graph") for x in (g.nodes, g.edges, g.mentions, g.papers)))
     return g
