@@ -54,8 +54,9 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    df = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.where("_bad IS NULL").drop("_bad")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(path).select(F.from_json("value", f"{schema}, _bad string", options).alias("j"))
+    return lines.where("j IS NOT NULL AND j._bad IS NULL").select("j.*").drop("_bad")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
