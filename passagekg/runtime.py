@@ -5,6 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +56,28 @@ def broadcast_if_small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if rows <= bound else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_passagekg_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="passagekg-")) / "passagekg.zip"  # on the driver only; Spark serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._passagekg_shipped = True
+
+
+def shipped(query: Callable) -> Callable:
+    """A query that first makes sure of :func:`ship`."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
