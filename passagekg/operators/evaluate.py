@@ -161,6 +161,27 @@ def counts_relaxed(predicted: DataFrame, gold: DataFrame, threshold: float = THR
     return j.select("extractor", "relation", F.col("tp").cast("bigint").alias("tp"), (F.col("n_pred") - F.col("tp")).cast("bigint").alias("fp"), (F.col("n_gold") - F.col("tp")).cast("bigint").alias("fn"))
 
 
+def _id() -> Column:
+    return F.concat_ws(":", F.lpad(F.col("line_no").cast("string"), 12, "0"), F.lpad(F.col("triple_ix").cast("string"), 4, "0"))
+
+
+def false_positives(predicted: DataFrame, matches: DataFrame, relations: tuple[str, ...] = SCORED) -> DataFrame:
+    """Scored predictions that no match (of ``greedy``) uses."""
+    return predicted.where(F.col("relation").isin(*relations)).withColumn("p_id", _id()).join(matches.select("p_id"), "p_id", "left_anti").drop("p_id")
+
+
+def false_negatives(gold: DataFrame, matches: DataFrame, extractors: list[str], relations: tuple[str, ...] = SCORED) -> DataFrame:
+    """Scored gold triples that an extractor (a short list) has no match for, one row per extractor."""
+    each = gold.where(F.col("relation").isin(*relations)).drop("extractor").withColumn("extractor", F.explode(F.array(*[F.lit(e) for e in extractors])))
+    return each.withColumn("g_id", _id()).join(matches.select("extractor", "g_id"), ["extractor", "g_id"], "left_anti").drop("g_id")
+
+
+def examples(rows: DataFrame, n: int = 20, by: tuple[str, ...] = ("extractor", "relation")) -> DataFrame:
+    """The first ``n`` rows per group for a report; the lists themselves are never cut."""
+    order = Window.partitionBy(*by).orderBy("line_no", "triple_ix")
+    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
+
+
 def value_mismatches(predicted: DataFrame, gold: DataFrame, relations: tuple[str, ...] = SCORED) -> DataFrame:
     """(extractor, relation, n) of unmatched pairs with the same subject: a wrong value for a fact that exists.
 

@@ -45,7 +45,8 @@ def synmof_rows(df: DataFrame, filename: str = "filename") -> DataFrame:
 def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
     """First row per key. min_by combines map-side, so a hot key is reduced before the shuffle."""
     row = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(F.col(key).alias("_k")).agg(F.min_by(row, F.struct(*order) if order else F.monotonically_increasing_id()).alias("_r")).select("_r.*")
+    placed = df.withColumn("_o", F.struct(*order) if order else F.monotonically_increasing_id())  # without an order: as read
+    return placed.groupBy(F.col(key).alias("_k")).agg(F.min_by(row, "_o").alias("_r")).select("_r.*")
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, left_order: list[str], right_order: list[str]) -> DataFrame:

@@ -194,6 +194,13 @@ def f9_relaxed(spark, sf):
     return evaluate.scores(evaluate.counts_relaxed(_pred(spark, sf), _gold(spark, sf)))
 
 
+def t7_examples(spark, sf):
+    p, g = _pred(spark, sf), _gold(spark, sf)
+    scored = lambda df: df.where(F.col("relation").isin(*evaluate.SCORED))
+    matches = evaluate.greedy(evaluate.candidates(scored(p), scored(g)))
+    return evaluate.examples(evaluate.false_positives(p, matches)).select("extractor", "relation", "line_no", "triple_ix", "subject_name", "object_name")
+
+
 def f10_mismatches(spark, sf):
     return evaluate.value_mismatches(_pred(spark, sf), _gold(spark, sf))
 
@@ -347,7 +354,7 @@ QUERIES = {
     "ref_x2_mentions": x2_mentions, "ref_x12_triples": x12_triples, "ref_x14_mixtures": x14_mixtures, "ref_x15_errors": x15_errors, "ref_j1_open_calls": j1_open,
     "ref_w1_cumulative_spend": cumulative, "ref_a6_run_summary": a6_summary, "ref_a7_operations": a7_operations, "ref_l3_cache_keys": l3_keys, "ref_l4_cache_stats": l4_cache,
     "ref_l6_costs": l6_costs, "ref_l7_replies": l7_replies, "ref_a1_scores": a1_counts, "ref_a3_micro": a3_micro, "ref_a4_macro": a4_macro, "ref_a5_skipped": a5_skipped,
-    "ref_a5_passages": a5_passages, "ref_f8_candidates": f8_candidates, "ref_f9_relaxed": f9_relaxed, "ref_f10_mismatches": f10_mismatches, "ref_a8_agreement": a8_agreement,
+    "ref_a5_passages": a5_passages, "ref_f8_candidates": f8_candidates, "ref_f9_relaxed": f9_relaxed, "ref_f10_mismatches": f10_mismatches, "ref_t7_examples": t7_examples, "ref_a8_agreement": a8_agreement,
     "ref_a8_relaxed": a8_relaxed, "ref_a8_missing": a8_missing, "ref_g1_key_violations": g1_violations, "ref_g2_papers": g2_papers, "ref_g3_nodes": g3_nodes, "ref_g4_edges": g4_edges,
     "ref_g5_mentions": g5_mentions, "ref_g6_rejections": g6_rejections, "ref_a20_load_stats": a20_load, "ref_k1_solvent_temperature": k1, "ref_k2_methods": k2, "ref_k3_pairs": k3,
     "ref_k4_full_record": k4, "ref_k5_provenance": k5, "ref_k6_stats": k6, "ref_k7_breakdown": k7, "ref_k8_violations": k8, "ref_j2_join": j2_join, "ref_j2_report": j2_report,

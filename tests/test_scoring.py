@@ -87,6 +87,16 @@ def test_greedy_matches_brute_force(spark):
     assert counts(spark, pred, gold, "relaxed")[("x", "IN_SOLVENT")] == (want, len(pred) - want, len(gold) - want)
 
 
+def test_diagnostics_agree_with_counts(spark):
+    gold = [t("USES_LINKER", "A-1", "x y z"), t("USES_LINKER", "B-1", "q")]
+    pred = [t("USES_LINKER", "A-1", "x y z w"), t("USES_LINKER", "A-1", "x y z"), t("USES_LINKER", "C-1", "q")]
+    p, g = table(spark, pred), table(spark, gold)
+    m = evaluate.greedy(evaluate.candidates(p, g))
+    fp, fn = evaluate.false_positives(p, m), evaluate.false_negatives(g, m, ["x"])
+    assert counts(spark, pred, gold, "relaxed") == {("x", "USES_LINKER"): (m.count(), fp.count(), fn.count())} == {("x", "USES_LINKER"): (1, 2, 1)}
+    assert evaluate.examples(fp, 1).count() == 1 and {r.object_name for r in fp.collect()} == {"x y z w", "q"}
+
+
 def test_mismatches(spark):
     pred = [t("USES_LINKER", "A-1", "x"), t("USES_LINKER", "A-1", "y"), t("USES_LINKER", "B-1", "x"), t("IN_SOLVENT", "m", "water")]
     gold = [t("USES_LINKER", "A-1", "z"), t("USES_LINKER", "A-1", "y"), t("USES_LINKER", "C-1", "x"), t("IN_SOLVENT", "n", "DMF")]
