@@ -40,16 +40,22 @@ def candidates(values: DataFrame, within: list[str] = []) -> DataFrame:  # noqa:
 
 
 def classes(cands: DataFrame, within: list[str] = []) -> DataFrame:  # noqa: B006
-    """One row per distinct value: (*within, value, canonical, n_values), grouped in SQL under the collation."""
+    """One row per distinct value: (*within, value, canonical, n_values), grouped in SQL under the collation.
+
+    The class is aggregated to its least value (combining map-side) and joined back to its members, so no class is
+    ever held as a list, however many of the values it has.
+    """
+    on = "".join(f"v.{c} = g.{c} AND " for c in within)
     scope = "".join(f"{c}, " for c in within)
     cands.select(*within, "value", "plain").distinct().createOrReplaceTempView("_same_values")
     return cands.sparkSession.sql(f"""
         WITH grouped AS (
-            SELECT {scope} min(value) AS canonical, count(*) AS n_values, collect_list(value) AS members
+            SELECT {scope} min(plain) AS plain, min(value) AS canonical, count(*) AS n_values
             FROM _same_values
             GROUP BY {scope} plain COLLATE {COLLATION}
             HAVING count(*) > 1)
-        SELECT {scope} canonical, n_values, explode(members) AS value FROM grouped
+        SELECT {"".join(f"v.{c}, " for c in within)} g.canonical, g.n_values, v.value
+        FROM _same_values v JOIN grouped g ON {on} v.plain COLLATE {COLLATION} = g.plain COLLATE {COLLATION}
     """)
 
 
