@@ -33,16 +33,20 @@ def keyed(triples: DataFrame) -> DataFrame:
     return tx.with_key(tx.with_key(triples, "subject_type", "subject_name", "s_key"), "object_type", "object_name", "o_key")
 
 
+def _last(df: DataFrame, keys: list[str], stamp: str) -> DataFrame:
+    """The last row per key by (stamp, line_no). An aggregation: copies of a hot key are reduced before the shuffle."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(row, F.struct(stamp, "line_no")).alias("_r")).select("_r.*")
+
+
 def latest_runs(results: DataFrame) -> DataFrame:
-    """One row per (passage_id, extractor): the last run_at, then the last line_no."""
-    last = Window.partitionBy("passage_id", "extractor").orderBy(F.desc_nulls_last("run_at"), F.desc("line_no"))
-    return results.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+    """One row per (passage_id, extractor): the last run_at, then the last line_no; no date is earliest."""
+    return _last(results, ["passage_id", "extractor"], "run_at")
 
 
 def latest_gold(gold: DataFrame) -> DataFrame:
     """One gold record per passage: the last annotated_at, then the last line_no."""
-    last = Window.partitionBy("passage_id").orderBy(F.desc_nulls_last("annotated_at"), F.desc("line_no"))
-    return gold.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+    return _last(gold, ["passage_id"], "annotated_at")
 
 
 def _match_key(agnostic: tuple[str, ...]) -> Column:

@@ -102,8 +102,21 @@ def run(passages: DataFrame, extractors: list[Extractor], results: DataFrame | N
 
 
 def cumulative_spend(results: DataFrame) -> DataFrame:
-    """Running spend per extractor in run order."""
+    """Running spend per extractor in run order.
+
+    A prefix sum in two levels: rows are range-partitioned in run order, summed inside each partition, and the
+    partitions' totals (one row per partition and extractor) give the offsets. No extractor is in one task.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("extractor").orderBy("run_at", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return results.select("line_no", "extractor", F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))).over(w), 6).alias("spent"))
+    from passagekg.runtime import stage_table
+
+    rows = results.select("line_no", "extractor", "run_at", F.coalesce("cost_usd", F.lit(0.0)).alias("cost"))
+    placed = stage_table(rows.repartitionByRange("extractor", "run_at", "line_no").withColumn("part", F.spark_partition_id()), "spend")
+    inside = Window.partitionBy("part", "extractor").orderBy("run_at", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("extractor").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("part", "extractor").agg(F.sum("cost").alias("cost"))
+    offsets = totals.select(F.col("part").alias("p"), F.col("extractor").alias("e"), F.coalesce(F.sum("cost").over(before), F.lit(0.0)).alias("before"))
+    summed = placed.withColumn("spent", F.sum("cost").over(inside))
+    joined = summed.join(offsets, (F.col("part") == F.col("p")) & F.col("extractor").eqNullSafe(F.col("e")))
+    return joined.select("line_no", "extractor", F.round(F.col("spent") + F.col("before"), 6).alias("spent"))
