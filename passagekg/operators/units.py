@@ -141,8 +141,8 @@ def quantity_names(results: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def measurements(names: DataFrame) -> DataFrame:
-    """Every (value, raw unit spelling) of ``names``; the name's own columns are kept except ``name``."""
-    keys = [c for c in names.columns if c != "name"]
+    """Every (value, raw unit spelling) of ``names``; other columns are kept unless a result column has their name."""
+    keys = [c for c in names.columns if c not in ("name", "value", "unit", "base_unit", "quantity", "scale", "shift", "distance", "value_base")]
     # a digit or a number word is necessary, so other names never reach Python
     stating = F.col("name").rlike(r"(?iU)\d|\p{N}|" + "|".join(_ONES[1:] + _TENS)) | F.col("name").rlike(r"[^\x00-\x7F]")
     return names.where(stating).select(*keys, F.explode(_parse_udf("name")).alias("m")).select(*keys, "m.value", "m.unit")

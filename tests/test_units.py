@@ -42,6 +42,12 @@ def test_unknown_units_are_reported(spark):
     assert [r.unit for r in units.unknown_units(m).collect()] == ["furlongs"]
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([("gold", 1, 0, "5 h", "x", 9, "q")], NAMES + ", value int, quantity string").withColumnRenamed("unit_of", "unit")
+    r = units.to_base(units.measurements(df)).first()
+    assert (r.value, r.unit, r.quantity, r.value_base) == (5.0, "h", "time", 18000)
+
+
 def test_empty(spark):
     assert units.to_base(units.measurements(spark.createDataFrame([], NAMES))).count() == 0
 
