@@ -322,7 +322,8 @@ def _find_udf(shared, frequency):
 
 
 def mapped(rows: DataFrame, canon: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``rows`` (with ``name``) plus canon_id (0: not in the list) and distance."""
+    """``rows`` (with ``name``) plus canon_id (0: not in the list) and distance, which replace columns of these names."""
+    rows = rows.drop("canon_id", "distance")
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(Dictionary(entries(canon, symbols)))
     exact = _exact_udf(shared)

@@ -88,7 +88,35 @@ QUERIES = {
 
 _SPACE = "\\t\\n\\v\\f\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
+
+
+def _same_look(x: str) -> str:
+    """The look-alike map as SQL: one-to-one by translate() (which also deletes), the few longer forms by replace()."""
+    from passagekg.functions.lookalike import lookalikes
+
+    table = lookalikes()
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    gone = [k for k, v in table.items() if not v]
+    longer = {k: v for k, v in table.items() if len(v) > 1 and (0x2100 <= k < 0x2190 or 0xFB00 <= k <= 0xFB06 or k == 0x2026)}
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    for k, v in longer.items():
+        x = f"replace({x}, {quote(chr(k))}, {quote(v)})"
+    source, target = "".join(map(chr, [*single, *gone])), "".join(single.values())
+    return f"nfc_normalize(translate({x}, {quote(source)}, {quote(target)}))"
+
+
 ORACLES: dict[str, str] = {
+    "p6_found": f"""
+WITH texts AS (SELECT DISTINCT passage_id AS k, text AS v FROM passages WHERE regexp_matches(text, '[^{_SPACE}]')),
+looks AS (SELECT k, v, {_same_look('v')} AS look FROM texts),
+ends AS (SELECT line_no, i, triples[i + 1] AS t FROM (SELECT line_no, triples, unnest(range(CAST(len(triples) AS BIGINT))) AS i FROM results)),
+names AS (
+    SELECT line_no, line_no || ':' || CASE WHEN i < 10 THEN '0' ELSE '' END || i || ':s' AS k, t.subject.name AS v FROM ends
+    UNION ALL SELECT line_no, line_no || ':' || CASE WHEN i < 10 THEN '0' ELSE '' END || i || ':o', t.object.name FROM ends),
+name_looks AS (SELECT line_no, k, v, {_same_look('v')} AS look FROM names WHERE regexp_matches(v, '[^{_SPACE}]'))
+SELECT DISTINCT 'text' AS field, a.k AS key_a, b.k AS key_b FROM looks a JOIN looks b ON a.look = b.look AND a.v <> b.v AND a.k < b.k
+UNION ALL SELECT DISTINCT 'name', a.k, b.k FROM name_looks a JOIN name_looks b ON a.line_no = b.line_no AND a.look = b.look AND a.v <> b.v AND a.k < b.k
+""",
     "p3_found": f"""
 WITH secs AS (SELECT paper_id, i AS section_ix, sections[i + 1].text AS text FROM (SELECT paper_id, sections, unnest(range(CAST(len(sections) AS BIGINT))) AS i FROM papers)),
 runs AS (SELECT paper_id, section_ix, string_split(text, chr(10)) AS parts FROM secs WHERE text IS NOT NULL),

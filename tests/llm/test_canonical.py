@@ -29,7 +29,7 @@ def frames(spark):
 
 def test_cases(spark):
     canon, symbols = frames(spark)
-    rows = spark.createDataFrame([(i, n, 5) for i, n in enumerate(CASES)], "i int, name string, extra int")
+    rows = spark.createDataFrame([(i, n, 5) for i, n in enumerate(CASES)], "i int, name string, canon_id int")
     got = {r.i: r.canon_id for r in canonical.mapped(rows, canon, symbols).collect()}
     assert {n: (got[i], w) for i, (n, w) in enumerate(CASES.items()) if got[i] != w} == {}
 

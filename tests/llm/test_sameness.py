@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from passagekg.llm import sameness
 from passagekg.sources.readers import RESULTS
 
@@ -20,6 +22,7 @@ def test_canonical_is_one_per_class(spark):
     c = {(r.key, r.value): r.canonical for r in sameness.canonical(values(spark)).collect()}
     assert len({v for (k, _), v in c.items() if k in ("p1", "p2", "p3")}) == 1 and len({v for (k, _), v in c.items() if k in ("q1", "q2", "q4")}) == 1
     assert c[("q3", "naive")] == "naive" and c[("p4", "the film was heated to 90 °C")] == "the film was heated to 90 °C" and c[("n1", None)] is None
+    assert sameness.canonical(values(spark).withColumn("canonical", F.lit(5))).columns == ["key", "value", "canonical"]
     again = {(r.key, r.value): r.canonical for r in sameness.canonical(values(spark, list(reversed(TEXTS)))).collect()}
     assert c == again
 
