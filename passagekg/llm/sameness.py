@@ -63,7 +63,7 @@ def canonical(values: DataFrame) -> DataFrame:
     """``values`` (key, value) with ``canonical``, the class's member in which all equal-looking values agree."""
     values = values.drop("canonical", "n_values")  # result columns replace columns of their names
     found = classes(candidates(values.select("key", "value")))
-    return values.join(found.select("value", "canonical"), "value", "left").withColumn("canonical", F.coalesce("canonical", "value"))
+    return values.join(found.select("value", "canonical"), "value", "left").select(*values.columns, F.coalesce("canonical", "value").alias("canonical"))
 
 
 def pairs(values: DataFrame, within: list[str] = []) -> DataFrame:  # noqa: B006
