@@ -12,7 +12,8 @@ A section of a table and a file on shared storage differ only in how a range is
 of the column; ``file_ranges``: a seek into the file, code point offsets by prefix sums over the ranges' counts).
 
 Defined results: null and empty texts and paragraphs within the limit give nothing; a paragraph without any natural
-boundary is cut at the limit; repeated texts of one key give their pieces once; offsets count code points from 0.
+boundary is cut at the limit; repeated texts of one key give their pieces once; papers without id give no pieces; offsets count
+code points from 0.
 """
 
 from __future__ import annotations
@@ -38,11 +39,13 @@ _ABBREVIATION = re.compile(r"(?:^|[\s(])(?:e\.g|i\.e|approx|ca|cf|Fig|Figs|Eq|Eq
 
 
 def section_ranges(papers: DataFrame) -> DataFrame:
-    """(paper_id, section_ix, base, lead, own, total, chunk): one row per range of every distinct section text."""
+    """(paper_id, section_ix, text_id, base, lead, own, total, chunk): one row per range of every section text.
+
+    Copies of a paper are not removed here, which would shuffle all texts: their fragments and pieces are equal
+    rows, and those few are made distinct.
+    """
     s = papers.select("paper_id", F.posexplode("sections").alias("section_ix", "s")).select("paper_id", "section_ix", F.col("s.text").alias("text"))
-    # only the texts of paper ids that come more than once need comparing; the hash keeps the shuffle narrow in bytes
-    s = s.where("length(text) > 0").dropDuplicates(["paper_id", "section_ix", "text"])
-    s = s.withColumn("text_id", F.xxhash64("text")).withColumn("total", F.length("text"))
+    s = s.where("length(text) > 0").withColumn("text_id", F.xxhash64("text")).withColumn("total", F.length("text"))
     r = s.withColumn("base", F.explode(F.sequence(F.lit(0), F.col("total") - 1, F.lit(RANGE))))
     lead = F.least(F.col("base"), F.lit(HALO))
     return r.select(
@@ -137,7 +140,7 @@ def paragraphs(ranges: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFr
             out = pd.DataFrame(rows, columns=[*keys, "start", "continues", "first", "last"])
             yield out.astype({"first": "Int64", "last": "Int64"})
 
-    fragments = ranges.mapInPandas(work, schema)
+    fragments = ranges.mapInPandas(work, schema).distinct()
     order = Window.partitionBy(*keys).orderBy("start")
     numbered = fragments.withColumn("para", F.sum(F.when(F.col("continues"), 0).otherwise(1)).over(order))
     whole = numbered.groupBy(*keys, "para").agg(F.min("first").alias("para_start"), F.max("last").alias("para_end"))
@@ -197,7 +200,7 @@ def pieces(ranges: DataFrame, paras: DataFrame, keys: list[str]) -> DataFrame:
                 rows += [(*key, ps, a, b) for a, b in range_pieces(base, lead, own, total, chunk, ps, pe)]
             yield pd.DataFrame(rows, columns=columns)
 
-    return work_list.mapInPandas(work, schema)
+    return work_list.mapInPandas(work, schema).distinct()
 
 
 SECTION_KEYS = ["paper_id", "section_ix", "text_id"]
@@ -218,8 +221,8 @@ def section_pieces(papers: DataFrame) -> DataFrame:
     # one text per key: the text travels once, and pieces are sliced from it by offset
     grouped = cut.groupBy(*SECTION_KEYS).agg(F.collect_list(F.struct("para_start", "piece_ix", "char_start", "char_end")).alias("cuts"))
     texts = papers.select("paper_id", F.posexplode("sections").alias("section_ix", "s")).select("paper_id", "section_ix", F.col("s.text").alias("body"))
-    texts = texts.dropDuplicates(["paper_id", "section_ix", "body"]).withColumn("text_id", F.xxhash64("body"))
-    rows = texts.join(grouped, SECTION_KEYS).select("paper_id", "section_ix", "body", F.explode("cuts").alias("c"))
+    texts = texts.withColumn("text_id", F.xxhash64("body"))
+    rows = texts.join(grouped, SECTION_KEYS).dropDuplicates(SECTION_KEYS).select("paper_id", "section_ix", "body", F.explode("cuts").alias("c"))
     return rows.select(
         "paper_id", "section_ix", F.col("c.para_start").cast("int").alias("para_start"), F.col("c.piece_ix").cast("int").alias("piece_ix"), F.col("c.char_start").cast("int").alias("char_start"),
         F.col("c.char_end").cast("int").alias("char_end"), F.substring(F.col("body"), F.col("c.char_start").cast("int") + 1, (F.col("c.char_end") - F.col("c.char_start")).cast("int")).alias("text"),
