@@ -63,16 +63,16 @@ def counts_exact(predicted: DataFrame, gold: DataFrame, agnostic: tuple[str, ...
     Two aggregations with map-side combine and one join of aggregated keys. Gold is not copied per extractor: what
     an extractor misses is its gold total minus its matches.
     """
-    p = keyed(predicted.where(F.col("relation").isin(*relations))).withColumn("mk", _match_key(agnostic))
-    g = keyed(gold.where(F.col("relation").isin(*relations))).withColumn("mk", _match_key(agnostic))
     # concat of null-safe parts: one plain equi key, so the join is a hash or merge join
-    group = F.sha2(F.to_json(F.struct(*GROUP), {"ignoreNullFields": "false"}), 256)
-    pc = p.where("mk IS NOT NULL").groupBy("extractor", "relation", group.alias("gk"), "mk").agg(F.count("*").alias("n_pred"))
-    gc = g.where("mk IS NOT NULL").groupBy(group.alias("gk"), "mk").agg(F.count("*").alias("n_gold"))
-    tp = pc.join(gc, ["gk", "mk"]).groupBy("extractor", "relation").agg(F.sum(F.least("n_pred", "n_gold")).alias("tp"))
-    n_pred = p.groupBy("extractor", "relation").agg(F.count("*").alias("n_pred"))
-    n_gold = g.groupBy("relation").agg(F.count("*").alias("n_gold"))
-    cells = p.select("extractor").distinct().crossJoin(n_gold.select("relation").union(p.select("relation")).distinct())  # extractors x relations, both tiny
+    gk = F.sha2(F.to_json(F.struct(*GROUP), {"ignoreNullFields": "false"}), 256).alias("gk")
+    side = lambda df: keyed(df.where(F.col("relation").isin(*relations))).withColumn("mk", _match_key(agnostic))
+    # everything below comes from these two aggregates, so their exchanges are planned once and reused
+    pc = side(predicted).groupBy("extractor", "relation", gk, "mk").agg(F.count("*").alias("n_pred"))
+    gc = side(gold).groupBy("relation", gk, "mk").agg(F.count("*").alias("n_gold"))
+    tp = pc.join(gc.drop("relation"), ["gk", "mk"]).groupBy("extractor", "relation").agg(F.sum(F.least("n_pred", "n_gold")).alias("tp"))
+    n_pred = pc.groupBy("extractor", "relation").agg(F.sum("n_pred").alias("n_pred"))
+    n_gold = gc.groupBy("relation").agg(F.sum("n_gold").alias("n_gold"))
+    cells = n_pred.select("extractor").distinct().crossJoin(n_gold.select("relation").union(n_pred.select("relation")).distinct())  # extractors x relations, both tiny
     j = cells.join(n_pred, ["extractor", "relation"], "left").join(tp, ["extractor", "relation"], "left").join(n_gold, "relation", "left").na.fill(0)
     return j.select("extractor", "relation", F.col("tp").cast("bigint").alias("tp"), (F.col("n_pred") - F.col("tp")).cast("bigint").alias("fp"), (F.col("n_gold") - F.col("tp")).cast("bigint").alias("fn"))
 
