@@ -42,7 +42,7 @@ WORDS_OF_WRITING = 4
 FUNCTION_WORDS = frozenset(
     """the of and to in a is was for with on at by from that as are were be been it its this which or an not but than then so if these those there their his her our we i you he she they
     has have had do does did can could may might will would should must who what when where why because although while since until after before between within without under over about into through
-    during against among also only any some no nor such both each other another here however please my your use was
+    during against among also only any some no nor such both each other another here however please my your use per beyond above below across upon towards was
     der die das den dem des und in von zu mit ist im für auf ein eine einer einem einen wurde wurden nicht sich als auch bei nach aus dass wird werden war sind zur zum durch über unter ob was noch danach
     le la les de du des et à un une est dans pour par sur en que qui ne pas au aux il elle ce cette ces sont été a plus soit puis avec se son sa ses on l d après ensuite ont nous leur lors comme
     el los las y en que del una un con por se lo su sus para es al como más fue son ha durante según hasta""".split()
@@ -57,6 +57,10 @@ _LABEL = re.compile(r"(?:^|\s)(?:tags?|keywords?|labels?|schlagw[oö]rter|étiqu
 _PRODUCT = re.compile(r"\bSKU\b|\bin stock\b|\badd to (?:cart|basket)\b|[$€£¥] ?\d", re.I)
 _CITED = re.compile(r"^ ?\[?\d+[\].)] .*(?:\b(?:19|20)\d\d\b|doi)", re.I)
 _ENTRY = re.compile(r"^[^:|#]{1,60}: [^:]{1,200}$|\.{3,} ?\d+ ?$|^\d+[.)] +\w[^.]*\.$|^\d+(?:\.\d+)* +\w.*\.{2,}")
+#: Labels of site navigation.
+_NAVIGATION = re.compile(
+    r"\b(?:back to top|read more|click here|view all|next page|previous page|related products|wish ?list|newsletter|site ?map|log ?in|sign (?:in|up)|privacy|terms|cart(?: \(\d+\))?|home|compare|share)\b", re.I
+)
 _ITEM = re.compile(r"[.,;:|•›»★!?>\n\t]+| - |  +")
 
 
@@ -140,6 +144,8 @@ def stuffed(lines: list[str], found: list[str], function: int, kinds: int) -> bo
     if share >= SOME and kinds >= WORDS_OF_WRITING:
         return False
     near, regular = recurrence(found)
+    if share < 0.8 * SOME and len(_NAVIGATION.findall(body)) * 10 > n:
+        return True
     if share < FEW:
         return near >= RECURRENCE * 0.4 or regular >= AUTOCORRELATION / 2
     items = sum(1 for x in _ITEM.split(body) if len(x) > 1)
