@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from passagekg.llm import packing
 
-SCHEMA = "doc_id bigint, text string, extra int"
+SCHEMA = "doc_id bigint, text string, container int"
 
 
 def test_patterns_use_every_item_once_and_fit():

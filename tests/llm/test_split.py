@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from passagekg.llm import split
 
-SCHEMA = "paper_id string, sections array<struct<name:string,text:string>>, extra int"
+SCHEMA = "paper_id string, sections array<struct<name:string,text:string>>, section_ix int"
 
 
 def sentences(n, seed=0):
