@@ -8,7 +8,8 @@ list and quantities to base units. Sorted neighbourhood over three composite sor
 Entries of both sources are sorted together by each key, and a window slides over the last part of the key. The
 window is bounded by value (the tolerance), not by a number of rows, so no neighbour within tolerance is ever lost and
 none beyond it is looked at. Candidates are compared by weighted field similarities (``confidence``);
-``one_to_one`` then assigns each side at most one partner, maximising total confidence, by an auction.
+``one_to_one`` then assigns each side at most one partner, maximising total confidence: contested pairs fall into
+connected components, and each is solved exactly by shortest augmenting paths, whatever the size of the whole.
 
 Defined results: entries without metal or linker, or with fewer than two of the three quantities, have no candidate;
 a value null on one side is not compared; ranges and repeated statements count as several values of which any may
@@ -17,7 +18,9 @@ agree; repeated rows count once per (passage_id, refcode); blank refcodes and pa
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,7 +37,7 @@ TEMPERATURE_TOLERANCE = 60  # in 0.01 degrees C
 STRETCH = 500
 #: Weights of the field similarities.
 WEIGHTS = {"temperature": 0.3, "time": 0.25, "yield": 0.25, "solvents": 0.1, "linker": 0.1}
-#: Contested edges up to which the last rounds of the auction run in one place.
+#: Contested edges up to which components are found and solved in one place; beyond, by Spark, with the same result.
 LOCAL_EDGES = 20_000
 
 _SHORTHAND = T.StructType([T.StructField("metal", T.StringType()), T.StructField("linker", T.LongType())])
@@ -175,7 +178,7 @@ def matches(gold: DataFrame, merged: DataFrame, canon: DataFrame, symbols: DataF
 
 
 def auction(edges: list[tuple[str, str, float]], step: float) -> dict[str, str]:
-    """Assignment maximising total confidence up to ``step`` per pair; edges (left, right, confidence)."""
+    """Assignment maximising total confidence up to ``step`` per pair, by bids: a check of :func:`assignment`."""
     options: dict[str, list[tuple[str, float]]] = {}
     for a, b, c in sorted(edges):
         options.setdefault(a, []).append((b, c))
@@ -196,12 +199,66 @@ def auction(edges: list[tuple[str, str, float]], step: float) -> dict[str, str]:
     return {a: b for b, a in owner.items()}
 
 
+def assignment(edges: Iterable[tuple[str, str, float]]) -> dict[str, str]:
+    """Assignment of greatest total confidence, exact; edges (left, right, confidence), each pair once.
+
+    Lefts are added one by one along the shortest augmenting path under prices (Dijkstra over reduced costs); a path
+    ends at a free right or at a left that is better left without partner. Whole numbers, so nothing is rounded.
+    """
+    options: dict[str, list[tuple[str, int]]] = {}
+    for a, b, c in sorted(edges):
+        if c > 0:
+            options.setdefault(a, []).append((b, round(c * 10**12)))
+    price: dict[str, int] = {}
+    gain: dict[str, int] = {}
+    owner: dict[str, str] = {}
+    partner: dict[str, str] = {}
+    for new in options:
+        gain[new] = max(0, max(w - price.get(b, 0) for b, w in options[new]))
+        reached: dict[str, int] = {}
+        before: dict[str, str] = {}
+        closed: dict[str, int] = {}
+        heap: list[tuple[int, bool, str]] = []
+        a, base = new, 0
+        out, least_out = new, gain[new]
+        while True:
+            for b, w in options[a]:
+                d = base + gain[a] - w + price.get(b, 0)
+                if b not in closed and d < reached.get(b, d + 1):
+                    reached[b], before[b] = d, a
+                    heapq.heappush(heap, (d, b in owner, b))
+            if base + gain[a] < least_out:
+                out, least_out = a, base + gain[a]
+            while heap and heap[0][2] in closed:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= least_out:
+                end, length = partner.pop(out, None), least_out
+                break
+            d, _, b = heapq.heappop(heap)
+            if b not in owner:
+                end, length = b, d
+                break
+            closed[b] = d
+            a, base = owner[b], d
+        for b, d in closed.items():
+            price[b] = price.get(b, 0) + length - d
+            gain[owner[b]] -= length - d
+        gain[new] -= length
+        while end is not None:
+            a = before[end]
+            owner[end] = a
+            last, partner[a] = partner.get(a), end
+            end = None if a == new else last
+    return partner
+
+
 def one_to_one(pairs: DataFrame) -> DataFrame:
     """Each passage and each refcode at most once, total confidence maximal: (passage_id, refcode, confidence).
 
-    Pairs without a rival are final. The contested rest is auctioned in rounds of Spark jobs over written tables
-    (every free passage bids on its best refcode, every refcode keeps its best bid) until it is small enough
-    (``LOCAL_EDGES``, checked) to be finished by the same auction in one place.
+    Pairs without a rival are final. The contested rest falls into connected components, each solved exactly by
+    :func:`assignment`. Up to ``LOCAL_EDGES`` edges (checked) that happens in one place, beyond it with one group per
+    component; a component is solved alike in both, so the result does not depend on the size. One component is
+    held by one task.
     """
     spark = pairs.sparkSession
     pairs = stage_table(pairs.select("passage_id", "refcode", "confidence"), "pairs")
@@ -213,26 +270,27 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     n = rest.count()
     if n == 0:
         return sole
-    step = 1e-4 / (n + 1)
     if n <= LOCAL_EDGES:
-        got = auction([tuple(r) for r in rest.collect()], step)
-        won = spark.createDataFrame(list(got.items()) or [], "passage_id string, refcode string")
-        return sole.unionByName(rest.join(won, ["passage_id", "refcode"]))
-    return sole.unionByName(_auction_rounds(rest, max(step, 1e-4)))
+        won = spark.createDataFrame(list(assignment(tuple(r) for r in rest.collect()).items()), "passage_id string, refcode string")
+    else:
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            got = assignment(pdf[["passage_id", "refcode", "confidence"]].itertuples(index=False, name=None))
+            return pd.DataFrame(list(got.items()), columns=["passage_id", "refcode"])
+
+        won = components(rest).groupBy("component").applyInPandas(solve, "passage_id string, refcode string")
+    return sole.unionByName(rest.join(won, ["passage_id", "refcode"]))
 
 
-def _auction_rounds(edges: DataFrame, step: float) -> DataFrame:
-    """The auction as rounds of Spark jobs, for contested sets of any size."""
-    spark = edges.sparkSession
-    edges = stage_table(edges, "edges")
-    owners = spark.createDataFrame([], "refcode string, passage_id string, price double")
+def components(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``component``, the least passage_id of the connected component.
+
+    Labels spread through the edges, passage to refcode and back, until none changes.
+    """
+    edges = stage_table(edges.withColumn("component", F.col("passage_id")), "components")
     while True:
-        free = edges.join(owners.select("passage_id"), "passage_id", "left_anti")
-        net = free.join(owners.select("refcode", "price"), "refcode", "left").withColumn("net", F.col("confidence") - F.coalesce("price", F.lit(0.0)))
-        order = Window.partitionBy("passage_id").orderBy(F.desc("net"), "refcode")
-        top = net.withColumn("second", F.lead("net").over(order)).withColumn("r", F.row_number().over(order)).where("r = 1 AND net > 0")
-        bids = top.select("refcode", "passage_id", (F.coalesce("price", F.lit(0.0)) + F.col("net") - F.greatest(F.coalesce("second", F.lit(0.0)), F.lit(0.0)) + step).alias("price"))
-        bids = stage_table(bids.groupBy("refcode").agg(F.max_by("passage_id", F.struct("price", "passage_id")).alias("passage_id"), F.max("price").alias("price")), "bids")
-        if bids.isEmpty():
-            return edges.join(owners.select("passage_id", "refcode"), ["passage_id", "refcode"])
-        owners = stage_table(owners.join(bids.select("refcode"), "refcode", "left_anti").unionByName(bids), "owners")
+        low = edges.groupBy("refcode").agg(F.min("component").alias("low"))
+        by_passage = edges.select("passage_id", "refcode").join(low, "refcode").groupBy("passage_id").agg(F.min("low").alias("low"))
+        spread = stage_table(edges.join(by_passage, "passage_id").withColumn("changed", F.col("low") != F.col("component")), "components")
+        edges = spread.withColumn("component", F.col("low")).drop("low", "changed")
+        if spread.where("changed").isEmpty():
+            return edges

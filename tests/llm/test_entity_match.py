@@ -75,3 +75,31 @@ def test_one_to_one(spark, monkeypatch):
     monkeypatch.setattr(em, "LOCAL_EDGES", 0)  # rounds of Spark jobs, as for sets that do not fit in one place
     assert {(r.passage_id, r.refcode) for r in em.one_to_one(df).collect()} == want
     assert em.one_to_one(df.limit(0)).count() == 0
+
+
+def test_assignment_is_exact():
+    rng = random.Random(8)
+    for _ in range(60):
+        edges = [(f"a{i}", f"b{j}", round(rng.choice([0.9, rng.uniform(0.1, 1)]), 4)) for i in range(4) for j in range(4) if rng.random() < 0.6]
+        value = {(a, b): c for a, b, c in edges}
+        got = em.assignment(edges)
+        assert len(set(got.values())) == len(got) and abs(sum(value[p] for p in got.items()) - brute(edges)) < 1e-9
+        other = em.auction(edges, 1e-4 / (len(edges) + 1))
+        assert abs(sum(value[p] for p in got.items()) - sum(value[p] for p in other.items())) < 1e-9
+    crowd = [(f"a{i}", f"b{j}", 0.9) for i in range(120) for j in range(119)]
+    assert len(em.assignment(crowd)) == 119
+
+
+def test_size_does_not_change_the_assignment(spark, monkeypatch):
+    # confidences so close that bids by 1e-4 a pair miss the best assignment
+    rng = random.Random(4)
+    edges = [(f"{k}a{i}", f"{k}b{j}", round(0.5 + rng.randint(0, 3) * 1e-4, 4)) for k in range(30) for i in range(4) for j in range(4) if rng.random() < 0.7]
+    df = spark.createDataFrame(edges, "passage_id string, refcode string, confidence double")
+    local = sorted(map(tuple, em.one_to_one(df).collect()))
+    value = {(a, b): c for a, b, c in edges}
+    assert abs(sum(c for *_, c in local) - sum(value[p] for p in em.auction(edges, 1e-4 / (len(edges) + 1)).items())) < 1e-9
+    monkeypatch.setattr(em, "LOCAL_EDGES", 0)
+    assert sorted(map(tuple, em.one_to_one(df).collect())) == local
+    path = [(f"p{i:02d}", f"q{j:02d}", 0.5) for i in range(9) for j in (i, i + 1)]
+    labels = em.components(spark.createDataFrame(path + [("z", "z", 0.1)], df.schema)).collect()
+    assert {(r.passage_id == "z", r.component) for r in labels} == {(False, "p00"), (True, "z")}
