@@ -5,6 +5,7 @@ A text is cut into blocks (a line of writing is one, the lines between two such
 * its share of function words (writing has them in any language, lists have not),
 * term recurrence: the share of terms seen again within ``LAG`` positions, and the highest positional
   autocorrelation over the lags 1..``LAG`` (how often a term equals the term l places before),
+* lists of different terms: almost no function words, no sentences and no layout of an honest list,
 * links, hash tags and product codes per character,
 * layout that lists legitimately have: bibliographies, tables of numbers, glossaries, contents, numbered steps.
 
@@ -33,6 +34,8 @@ FEW, SOME = 0.085, 0.17
 RECURRENCE = 0.62
 AUTOCORRELATION = 0.22
 LEAST_TERMS = 8
+#: Terms from which a block without function words, sentences or honest layout is a keyword list, and the terms a sentence has.
+LIST_TERMS, SENTENCE_TERMS = 24, (5.5, 40)
 #: Terms in a window of a long line, and the share of function words from which a line is surely writing throughout.
 WINDOW, SPARSE = 40, 0.24
 #: Different function words from which a block counts as writing even if its terms recur.
@@ -61,6 +64,7 @@ _ENTRY = re.compile(r"^[^:|#]{1,60}: [^:]{1,200}$|\.{3,} ?\d+ ?$|^\d+[.)] +\w[^.
 _NAVIGATION = re.compile(
     r"\b(?:back to top|read more|click here|view all|next page|previous page|related products|wish ?list|newsletter|site ?map|log ?in|sign (?:in|up)|privacy|terms|cart(?: \(\d+\))?|home|compare|share)\b", re.I
 )
+_SENTENCE_END = re.compile(r"[.!?](?=\s|$)|[。！？]")
 _ITEM = re.compile(r"[.,;:|•›»★!?>\n\t]+| - |  +")
 
 
@@ -119,6 +123,16 @@ def few_kinds(found: list[str]) -> int:
     return kinds
 
 
+def keyword_list(lines: list[str], n: int) -> bool:
+    """Whether ``n`` terms without function words are a bare list: no sentences (of a language without fixed words), no amount on most lines."""
+    if n < LIST_TERMS:
+        return False
+    ends = sum(len(_SENTENCE_END.findall(x)) for x in lines)
+    if ends and SENTENCE_TERMS[0] <= n / ends <= SENTENCE_TERMS[1]:
+        return False
+    return len(lines) < 3 or sum(1 for x in lines if _NUMBERS.search(x)) * 2 < len(lines)
+
+
 def stuffed(lines: list[str], found: list[str], function: int, kinds: int) -> bool | None:
     """Whether a block is stuffing; None when it says nothing either way (a heading, a few terms)."""
     if not found:
@@ -147,7 +161,8 @@ def stuffed(lines: list[str], found: list[str], function: int, kinds: int) -> bo
     if share < 0.8 * SOME and len(_NAVIGATION.findall(body)) * 10 > n:
         return True
     if share < FEW:
-        return near >= RECURRENCE * 0.4 or regular >= AUTOCORRELATION / 2
+        # a cycle of more than LAG terms shows in gaps of any length
+        return near >= RECURRENCE * 0.4 or recurrence(found, n)[1] >= AUTOCORRELATION / 2 or keyword_list(lines, n)
     items = sum(1 for x in _ITEM.split(body) if len(x) > 1)
     if n >= 24 and few_kinds(found) <= 2 and (n < 5.5 * items or n >= 60 and near >= 1.25 * RECURRENCE):
         return near >= RECURRENCE * 0.8

@@ -49,3 +49,17 @@ def test_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, stuffing string")
     assert [r.doc_id for r in stuffing.flagged(docs).collect()] == [1]
     assert stuffing.flagged(docs.limit(0)).count() == 0
+
+
+def _names(n):
+    return ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11, 17)) + chr(97 + i // 26) for i in range(n)]
+
+
+@pytest.mark.parametrize("text", [", ".join(_names(300)), "\n".join(_names(40)), " | ".join(_names(60) * 5), ". ".join(" ".join(_names(60)[i : i + 3]) for i in range(0, 60, 3)) + ". ", " ".join(_names(300))])
+def test_lists_of_different_terms(text):
+    assert stuffing.stuffing_share(text) > stuffing.SHARE
+
+
+@pytest.mark.parametrize("text", [", ".join(_names(20)), "\n".join(f"{x} 9{i % 10}" for i, x in enumerate(_names(40))), "\n".join(f"{x}: {y}" for x, y in zip(_names(40), _names(80)[40:])), "Кристаллы были нагреты до кипения двое суток. " + "Затем раствор охладили и промыли чистой водой. Выход второго опыта оказался ниже первого. Растворитель вероятно содержал немного влаги."])
+def test_honest_lists_of_different_terms(text):
+    assert stuffing.stuffing_share(text) <= stuffing.SHARE
