@@ -205,15 +205,17 @@ def f10_mismatches(spark, sf):
     return evaluate.value_mismatches(_pred(spark, sf), _gold(spark, sf))
 
 
-def _records(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Long records per passage: ours from one extractor's triples, the reference from gold."""
+def _records(spark, sf, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Long records per passage: ours from one extractor's triples (or from all, by extractor), the reference from gold."""
     fields = {"USES_LINKER": "linker", "USES_PRECURSOR": "metal_precursor", "IN_SOLVENT": "solvent", "SYNTHESIZED_BY": "synthesis_method", "AT_CONDITION": "temperature"}
     name = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])
 
-    def long(t: DataFrame) -> DataFrame:
-        rows = t.where("passage_id IS NOT NULL").select(F.col("passage_id").alias("paper_id"), F.try_element_at(name, F.col("relation")).alias("field"), "object_name").where("field IS NOT NULL")
-        return rows.groupBy("paper_id", "field").agg(F.collect_list("object_name").alias("values"))
+    def long(t: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        rows = t.where("passage_id IS NOT NULL").select(*by, F.col("passage_id").alias("paper_id"), F.try_element_at(name, F.col("relation")).alias("field"), "object_name").where("field IS NOT NULL")
+        return rows.groupBy(*by, "paper_id", "field").agg(F.collect_list("object_name").alias("values"))
 
+    if by:
+        return long(_pred(spark, sf).withColumn("extractor", F.coalesce("extractor", F.lit(""))), by), long(_gold(spark, sf))
     return long(_pred(spark, sf).where("extractor = 'alpha:ax-large:zero_shot'")), long(_gold(spark, sf))
 
 
@@ -229,6 +231,21 @@ def a8_missing(spark, sf):
     return agreement.missing_records(*_records(spark, sf))
 
 
+_EXTRACTOR = ("extractor",)
+
+
+def a8_agreement_all(spark, sf):
+    return agreement.report(agreement.compared(*_records(spark, sf, _EXTRACTOR), by=_EXTRACTOR), _EXTRACTOR)
+
+
+def a8_relaxed_all(spark, sf):
+    return agreement.report(agreement.compared(*_records(spark, sf, _EXTRACTOR), mode="relaxed", by=_EXTRACTOR), _EXTRACTOR)
+
+
+def a8_missing_all(spark, sf):
+    return agreement.missing_records(*_records(spark, sf, _EXTRACTOR), _EXTRACTOR)
+
+
 # -- graph --
 
 
@@ -355,7 +372,7 @@ QUERIES = {
     "ref_w1_cumulative_spend": cumulative, "ref_a6_run_summary": a6_summary, "ref_a7_operations": a7_operations, "ref_l3_cache_keys": l3_keys, "ref_l4_cache_stats": l4_cache,
     "ref_l6_costs": l6_costs, "ref_l7_replies": l7_replies, "ref_a1_scores": a1_counts, "ref_a3_micro": a3_micro, "ref_a4_macro": a4_macro, "ref_a5_skipped": a5_skipped,
     "ref_a5_passages": a5_passages, "ref_f8_candidates": f8_candidates, "ref_f9_relaxed": f9_relaxed, "ref_f10_mismatches": f10_mismatches, "ref_t7_examples": t7_examples, "ref_a8_agreement": a8_agreement,
-    "ref_a8_relaxed": a8_relaxed, "ref_a8_missing": a8_missing, "ref_g1_key_violations": g1_violations, "ref_g2_papers": g2_papers, "ref_g3_nodes": g3_nodes, "ref_g4_edges": g4_edges,
+    "ref_a8_relaxed": a8_relaxed, "ref_a8_missing": a8_missing, "ref_a8_agreement_all": a8_agreement_all, "ref_a8_relaxed_all": a8_relaxed_all, "ref_a8_missing_all": a8_missing_all, "ref_g1_key_violations": g1_violations, "ref_g2_papers": g2_papers, "ref_g3_nodes": g3_nodes, "ref_g4_edges": g4_edges,
     "ref_g5_mentions": g5_mentions, "ref_g6_rejections": g6_rejections, "ref_a20_load_stats": a20_load, "ref_k1_solvent_temperature": k1, "ref_k2_methods": k2, "ref_k3_pairs": k3,
     "ref_k4_full_record": k4, "ref_k5_provenance": k5, "ref_k6_stats": k6, "ref_k7_breakdown": k7, "ref_k8_violations": k8, "ref_j2_join": j2_join, "ref_j2_report": j2_report,
     "ref_a10_coverage": a10_coverage, "ref_a11_solvents": a11_solvents, "ref_a11_metals": a11_metals, "ref_a12_conditions": a12_conditions, "ref_a13_metals": a13_metals,
@@ -429,11 +446,12 @@ _REC = f"""WITH map_(relation, field) AS (VALUES ('USES_LINKER', 'linker'), ('US
     kinds(field, kind) AS (VALUES ('linker', 'OrganicLinker'), ('metal_precursor', 'MetalPrecursor'), ('solvent', 'Solvent'), ('synthesis_method', 'SynthesisMethod'), ('temperature', 'Condition')),
     ours AS (SELECT passage_id AS paper_id, field, object_name AS v FROM {_P} JOIN map_ USING (relation) WHERE passage_id IS NOT NULL AND extractor = 'alpha:ax-large:zero_shot'),
     refs AS (SELECT passage_id AS paper_id, field, object_name AS v FROM {_G} JOIN map_ USING (relation) WHERE passage_id IS NOT NULL)"""
+_REC_ALL = _REC.replace("SELECT passage_id AS paper_id, field, object_name AS v FROM " + _P, "SELECT passage_id AS paper_id, coalesce(extractor, '') AS extractor, field, object_name AS v FROM " + _P).replace(" AND extractor = 'alpha:ax-large:zero_shot'", "")
 _NULLS = "(" + ", ".join(sqltext.lit(s) for s in ("", "na", "n/a", "none", "null", "nan", "-", "--", "unknown", "not reported")) + ")"
 
 
-def _clean(rel: str) -> str:
-    return f"(SELECT paper_id, field, kind, {c.strip('v')} AS v FROM {rel} JOIN kinds USING (field) WHERE v IS NOT NULL AND lower({c.strip('v')}) NOT IN {_NULLS})"
+def _clean(rel: str, by: str = "") -> str:
+    return f"(SELECT {by}paper_id, field, kind, {c.strip('v')} AS v FROM {rel} JOIN kinds USING (field) WHERE v IS NOT NULL AND lower({c.strip('v')}) NOT IN {_NULLS})"
 
 
 ORACLES = {
@@ -475,6 +493,14 @@ ORACLES = {
             LEFT JOIN (SELECT a.paper_id, a.field, count(*) AS m FROM a JOIN b ON a.paper_id = b.paper_id AND a.field = b.field AND a.key = b.key GROUP BY ALL) USING (paper_id, field))
         SELECT field, count(*) FILTER (verdict <> 'n') AS comparable, count(*) FILTER (verdict = 'a') AS agreed, count(*) FILTER (verdict = 'd') AS disagreed, count(*) FILTER (verdict = 'n') AS not_comparable,
             CASE WHEN count(*) FILTER (verdict <> 'n') > 0 THEN round(count(*) FILTER (verdict = 'a') / count(*) FILTER (verdict <> 'n'), 6) END AS agreement_rate FROM v GROUP BY field""",
+    "ref_a8_agreement_all": f"""{_REC_ALL}, a AS (SELECT DISTINCT extractor, paper_id, field, key FROM ({sqltext.keyed(_clean('ours', 'extractor, '), 'kind', 'v', 'key')}) WHERE key <> ''), b AS (SELECT DISTINCT paper_id, field, key FROM ({sqltext.keyed(_clean('refs'), 'kind', 'v', 'key')}) WHERE key <> ''),
+        has AS (SELECT DISTINCT paper_id, field FROM {_clean('refs')}), grid AS (SELECT DISTINCT p.extractor, p.paper_id, f.field FROM ours p, (SELECT field FROM ours UNION SELECT field FROM refs) f),
+        v AS (SELECT g.extractor, g.field, CASE WHEN h.paper_id IS NULL THEN 'n' WHEN nb > 0 AND m = na AND m = nb THEN 'a' ELSE 'd' END AS verdict FROM grid g LEFT JOIN has h USING (paper_id, field)
+            LEFT JOIN (SELECT extractor, paper_id, field, count(*) AS na FROM a GROUP BY ALL) USING (extractor, paper_id, field) LEFT JOIN (SELECT paper_id, field, count(*) AS nb FROM b GROUP BY ALL) USING (paper_id, field)
+            LEFT JOIN (SELECT a.extractor, a.paper_id, a.field, count(*) AS m FROM a JOIN b ON a.paper_id = b.paper_id AND a.field = b.field AND a.key = b.key GROUP BY ALL) USING (extractor, paper_id, field))
+        SELECT extractor, field, count(*) FILTER (verdict <> 'n') AS comparable, count(*) FILTER (verdict = 'a') AS agreed, count(*) FILTER (verdict = 'd') AS disagreed, count(*) FILTER (verdict = 'n') AS not_comparable,
+            CASE WHEN count(*) FILTER (verdict <> 'n') > 0 THEN round(count(*) FILTER (verdict = 'a') / count(*) FILTER (verdict <> 'n'), 6) END AS agreement_rate FROM v GROUP BY extractor, field""",
+    "ref_a8_missing_all": f"{_REC_ALL} SELECT extractor, count(DISTINCT paper_id) FILTER (paper_id NOT IN (SELECT paper_id FROM refs)) AS n_missing FROM ours GROUP BY extractor",
     "ref_a8_missing": f"{_REC} SELECT count(DISTINCT paper_id) AS n_missing FROM ours WHERE paper_id NOT IN (SELECT paper_id FROM refs)",
     "ref_g1_key_violations": "SELECT '' AS label, '' AS key, CAST(0 AS BIGINT) AS n WHERE false",
     "ref_g2_papers": f"""{_GRAPH} SELECT g.paper_id, k.* EXCLUDE (paper_id) FROM gpapers g LEFT JOIN (SELECT paper_id, max((retrieved_at, doi)) FILTER (doi IS NOT NULL)[2] AS doi, max((retrieved_at, title)) FILTER (title IS NOT NULL)[2] AS title, max((retrieved_at, license)) FILTER (license IS NOT NULL)[2] AS license,
