@@ -1,7 +1,11 @@
 """Problem 8: one mixture of several sources, each with its target share of all tokens.
 
-The mixture is as large as the caps allow: with T the tokens of a source, w its share and r its cap, the size is the
-least of r*T/w. Every text of a source is then wanted ``rate`` times (share of the size over T): the whole part for
+Copies of one text, under any doc_id and in any source, are one text: it counts once, under one of its sources (drawn
+by seeded hash, scarce sources favoured, then the least doc_id), and is repeated at most as often as the strictest of
+its sources allows.
+
+The mixture is then as large as the caps of the texts so dealt allow: with w the share of a source, the size is the least of
+sum(cap * tokens)/w. Every text of a source is wanted ``rate`` times or as often as its cap allows: the whole part for
 sure, the rest by sampling with inclusion probability rate - floor(rate).
 
 The sample is drawn by the cube method, balanced on tokens and on documents per source. The flight phase moves a
@@ -67,17 +71,71 @@ def landing(tokens: list[float], pi: list[float]) -> list[float]:
     return [float(best >> i & 1) for i in range(len(pi))]
 
 
-def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, available, rate, sure, pi): one row per target source."""
-    totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("available"))
+def distinct_texts(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """(source, doc_id, n_tokens, cap): one row per distinct text of ``sized`` (doc_id, source, text_id, n_tokens)."""
+    t = _valid(targets)
+    rows = sized.join(F.broadcast(t.select("source", "max_repeats")), "source").groupBy("text_id", "source")
+    rows = rows.agg(F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"), F.min("max_repeats").alias("cap"))
+    held = F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("held")  # at most one entry per target source
+    texts = stage_table(rows.groupBy("text_id").agg(held, F.min("n_tokens").alias("n_tokens"), F.min("cap").alias("cap")), "mix-copies")
+    groups = texts.groupBy(F.col("held.source").alias("sources")).agg(F.sum(F.col("n_tokens") * F.col("cap")).alias("room")).collect()  # sets of target sources
+    weights = claims([(r.sources, float(r.room)) for r in groups], {r.source: r.target_share for r in t.collect()})
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+
+    def draw(x):
+        u = (F.pmod(F.xxhash64("text_id", x["source"], F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+        return F.struct((-F.log(u) / weight[x["source"]]).alias("draw"), x["source"].alias("source"), x["doc_id"].alias("doc_id"))
+
+    return texts.withColumn("one", F.array_min(F.transform("held", draw))).select("one.source", "one.doc_id", "n_tokens", "cap")
+
+
+def claims(groups: list[tuple[list[str], float]], share: dict[str, float], rounds: int = 300) -> dict[str, float]:
+    """Weight of every source in drawing texts that several sources hold, so that each has room for its share."""
+    weights = {s: share[s] for s in sorted(share)}
+    for _ in range(rounds):
+        room = dict.fromkeys(weights, 0.0)
+        for sources, n in groups:
+            total = sum(weights[s] for s in sources)
+            for s in sources:
+                room[s] += n * weights[s] / total
+        weights = {s: min(max(w * (share[s] / room[s]) ** 0.5, 1e-9), 1e9) if room[s] else w for s, w in weights.items()}
+        top = max(weights.values(), default=1.0)
+        weights = {s: max(w / top, 1e-9) for s, w in weights.items()}
+    return weights or {"": 1.0}
+
+
+def _valid(targets: DataFrame) -> DataFrame:
     t = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
-    p = t.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").join(totals, "source", "left")
-    room = F.when(F.col("available") > 0, F.col("max_repeats") * F.col("available") / F.col("target_share"))
-    p = p.crossJoin(p.agg(F.min(room).alias("size")))  # one row
-    rate = F.least(F.col("size") * F.col("target_share") / F.col("available"), F.col("max_repeats").cast("double"))
-    p = p.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
-    whole = F.floor(F.col("rate") + _EPS)
-    return p.withColumn("sure", whole.cast("int")).withColumn("pi", F.greatest(F.col("rate") - whole, F.lit(0.0)))
+    return t.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0")
+
+
+def level(need: float, room: list[tuple[int, float]]) -> float:
+    """The rate at which texts of ``room`` [(cap, tokens)], none beyond its cap, give ``need`` tokens."""
+    rate = 0.0
+    for cap in sorted({c for c, _ in room}):
+        open_ = sum(n for c, n in room if c >= cap)
+        if need <= (cap - rate) * open_:
+            return rate + need / open_
+        need -= (cap - rate) * open_
+        rate = float(cap)
+    return rate
+
+
+def plan(texts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, cap, sure, pi): one row per source and cap of its texts (at most the square of the target sources)."""
+    room: dict[str, list[tuple[int, float]]] = {}
+    for r in texts.groupBy("source", "cap").agg(F.sum("n_tokens").alias("n")).collect():  # bounded by the target list
+        room.setdefault(r.source, []).append((r.cap, float(r.n)))
+    share = {r.source: r.target_share for r in _valid(targets).collect()}
+    size = min((sum(c * n for c, n in held) / share[s] for s, held in room.items()), default=0.0)
+    rows = []
+    for source, held in sorted(room.items()):
+        rate = level(size * share[source], held)
+        for cap, _ in sorted(held):
+            wanted = min(rate, float(cap))
+            whole = int(wanted + _EPS)
+            rows.append((source, cap, whole, max(wanted - whole, 0.0)))
+    return texts.sparkSession.createDataFrame(rows, "source string, cap int, sure int, pi double")
 
 
 def _fly(rows: DataFrame, blocks: int, level: int, seed: int) -> DataFrame:
@@ -118,12 +176,11 @@ def sample(rows: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
 
 
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, n_tokens, copies): how often each text is in the mixture (at least once)."""
+    """(doc_id, source, n_tokens, copies): how often each distinct text is in the mixture (at least once)."""
     d = documents.where("source IS NOT NULL")
-    sized = d.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
-    sized = stage_table(sized, "mix-sizes")
-    rates = stage_table(plan(sized, targets).select("source", "sure", "pi"), "mix-plan")
-    rows = sized.join(F.broadcast(rates), "source")  # one row per target source; the target list is fixed
+    sized = d.select("doc_id", "source", F.unhex(F.sha2("text", 256)).alias("text_id"), n_tokens(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
+    texts = stage_table(distinct_texts(sized, targets, seed), "mix-texts")
+    rows = texts.join(F.broadcast(plan(texts, targets)), ["source", "cap"])  # a row per source and cap; the target list is fixed
     drawn = sample(rows.select("source", "doc_id", "n_tokens", "pi"), seed).select("doc_id", F.lit(1).alias("extra"))
     out = rows.join(drawn, "doc_id", "left").withColumn("copies", (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("int"))
     return out.where("copies > 0").select("doc_id", "source", "n_tokens", "copies")

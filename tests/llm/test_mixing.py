@@ -62,3 +62,21 @@ def test_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     mixed = mixing.mixture(docs, targets)
     assert mixed.count() == 0 and mixing.shares(mixed, targets).first().share == 0
+
+
+def test_copies_of_a_text_are_one_text(spark):
+    rows = [(i, f"text {i % 20} " * 20, "a", 0) for i in range(200)] + [(1000 + i, f"other {i} " * 20, "b", 0) for i in range(40)]
+    rows += [(2000 + i, f"shared {i} " * 20, "ab"[i % 2], 0) for i in range(10)] + [(3000 + i, f"shared {i} " * 20, "ba"[i % 2], 0) for i in range(10)]
+    text = {r[0]: r[1] for r in rows}
+    got = mixing.mixture(spark.createDataFrame(rows, DOCS), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], TARGETS)).collect()
+    used = {}
+    for r in got:
+        used[text[r.doc_id]] = used.get(text[r.doc_id], 0) + r.copies
+    assert len(got) == len(used) and len(used) > 40
+    assert all(n <= (3 if t.startswith("other") else 1) for t, n in used.items())
+    tokens = {s: sum(r.n_tokens * r.copies for r in got if r.source == s) for s in "ab"}
+    assert abs(tokens["a"] / sum(tokens.values()) - 0.5) < 0.02
+
+
+def test_level():
+    assert mixing.level(30.0, [(1, 10.0), (3, 10.0)]) == 2.0 and mixing.level(5.0, [(1, 10.0)]) == 0.5 and mixing.level(40.0, [(1, 10.0), (3, 10.0)]) == 3.0
