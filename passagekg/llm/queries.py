@@ -22,7 +22,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sameness.canonical(sameness.passage_values(table(spark, sf_dir, "passages")))
+    return sameness.canonical_forms(table(spark, sf_dir, "passages"), table(spark, sf_dir, "results"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

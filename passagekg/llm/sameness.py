@@ -85,16 +85,38 @@ def passage_values(passages: DataFrame) -> DataFrame:
     return passages.select(F.col("passage_id").alias("key"), F.col("text").alias("value"))
 
 
-def name_values(results: DataFrame) -> DataFrame:
-    """Endpoint names of results rows that could have an equal-looking partner in the same row.
+def endpoint_names(results: DataFrame) -> DataFrame:
+    """(key, value) of every endpoint name of every results row, the key as in :func:`name_values`."""
+    return results.select(F.explode(_ends()).alias("e")).select("e.key", "e.value").where("value IS NOT NULL")
 
-    At least one name of such a pair has a character beyond ASCII, so rows of plain names end here.
+
+def canonical_forms(passages: DataFrame, results: DataFrame) -> DataFrame:
+    """(field, key, value, canonical) of passage texts and of endpoint names, each grouped over all rows.
+
+    Names repeat, so their classes are found among the distinct names, and only forms that change are joined back.
     """
+    text = canonical(passage_values(passages)).select(F.lit("text").alias("field"), "key", "value", "canonical")
+    names = endpoint_names(results)
+    distinct = stage_table(names.select("value").distinct().withColumn("key", F.col("value")), "names")
+    forms = canonical(distinct).where("value <> canonical").select("value", "canonical")
+    name = names.join(forms, "value", "left").select(F.lit("name").alias("field"), "key", "value", F.coalesce("canonical", "value").alias("canonical"))
+    return text.unionByName(name)
+
+
+def _ends():
+    """Array of (key, value) of the endpoints of a results row."""
     def end(t, i, role):
         return F.struct(F.concat_ws(":", F.col("line_no"), F.when(i < 10, F.concat(F.lit("0"), i)).otherwise(i.cast("string")), F.lit(role[0])).alias("key"), t[role]["name"].alias("value"))
 
-    ends = F.flatten(F.transform("triples", lambda t, i: F.array(end(t, i, "subject"), end(t, i, "object"))))
-    rows = results.select("line_no", ends.alias("ends"))
+    return F.flatten(F.transform("triples", lambda t, i: F.array(end(t, i, "subject"), end(t, i, "object"))))
+
+
+def name_values(results: DataFrame) -> DataFrame:
+    """Endpoint names of results rows that could have an equal-looking partner in the same row.
+
+    At least one name of such a pair has a character beyond ASCII, so rows of plain names end here.
+    """
+    rows = results.select("line_no", _ends().alias("ends"))
     rows = rows.where(F.exists("ends", lambda e: e["value"].rlike(r"[^\x00-\x7F]")))
     return rows.select(F.col("line_no").alias("row"), F.explode("ends").alias("e")).select("row", "e.key", "e.value")
 

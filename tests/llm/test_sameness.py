@@ -39,3 +39,14 @@ def test_names_within_one_row(spark):
 def test_empty(spark):
     v = values(spark).limit(0)
     assert sameness.pairs(v).count() == 0 and sameness.canonical(v).count() == 0
+
+
+def test_names_of_different_rows_get_one_form(spark):
+    e = lambda n: ("T", n, None)
+    t = lambda s, o: (e(s), "R", e(o), "", "", "", "", "")
+    rows = [(3, [t("ZIF-8", None), None]), (4, [t("ＺIF-8", "zif-8")]), (5, None), (6, [t("ZIF-8", " ")])]
+    r = spark.createDataFrame([(no, "p", "P", "S", "x", tr, 1, 0.0, 0.0, [], "r") for no, tr in rows], "line_no bigint, " + RESULTS)
+    p = values(spark).withColumnsRenamed({"key": "passage_id", "value": "text"})
+    got = sameness.canonical_forms(p, r)
+    assert got.columns == ["field", "key", "value", "canonical"] and got.where("field = 'text'").count() == len(TEXTS)
+    assert {x.key: x.canonical for x in got.where("field = 'name'").collect()} == {"3:00:s": "ZIF-8", "4:00:s": "ZIF-8", "4:00:o": "zif-8", "6:00:s": "ZIF-8", "6:00:o": " "}
