@@ -139,27 +139,30 @@ def plan(texts: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _fly(rows: DataFrame, blocks: int, level: int, seed: int) -> DataFrame:
-    """One level of flights: ``rows`` (source, doc_id, n_tokens, pi), in ``blocks`` blocks per source."""
+    """One level of flights: ``rows`` (source, doc_id, n_tokens, pi, ...), in ``blocks`` blocks per source."""
+    columns = rows.columns
+
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id"])
         rng = random.Random(f"{seed}:{level}:{pdf['source'].iloc[0]}:{pdf['block'].iloc[0]}")
         pdf["pi"] = flight(pdf["n_tokens"].astype(float).tolist(), pdf["pi"].tolist(), rng)
-        return pdf[["source", "doc_id", "n_tokens", "pi"]]
+        return pdf[columns]
 
     hashed = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed + level))).withColumn("block", F.pmod("h", F.lit(blocks)))
     return hashed.groupBy("source", "block").applyInPandas(block, rows.schema)
 
 
 def sample(rows: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """(source, doc_id, n_tokens) of the texts drawn from ``rows`` (source, doc_id, n_tokens, pi)."""
-    level, drawn = 0, None
-    n = rows.where("pi > 0").count()
-    rows = rows.where("pi > 0")
+    """``rows`` (source, doc_id, n_tokens, pi, ...) with every pi decided: 1 for the texts drawn, 0 for the others.
+
+    The decision stays in the row it was made for, so nothing is joined back.
+    """
+    level, n = 0, rows.where("pi > 0").count()
+    done, rows = rows.where("pi = 0"), rows.where("pi > 0")
     while True:
         blocks = max(1, -(-n // block))
         flown = stage_table(_fly(rows, blocks, level, seed), f"flight-{level}")
-        taken = flown.where("pi = 1.0").select("source", "doc_id", "n_tokens")
-        drawn = taken if drawn is None else drawn.unionByName(taken)
+        done = done.unionByName(flown.where("pi = 0.0 OR pi = 1.0"))
         rows = flown.where("pi > 0.0 AND pi < 1.0")
         if blocks == 1:
             break
@@ -169,10 +172,10 @@ def sample(rows: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     def land(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         pdf["pi"] = landing(pdf["n_tokens"].astype(float).tolist(), pdf["pi"].tolist())
-        return pdf.loc[pdf["pi"] == 1.0, ["source", "doc_id", "n_tokens"]]
+        return pdf
 
     # at most two rows per source are left
-    return drawn.unionByName(rows.groupBy("source").applyInPandas(land, drawn.schema))
+    return done.unionByName(rows.groupBy("source").applyInPandas(land, rows.schema))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
@@ -181,9 +184,8 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataF
     sized = d.select("doc_id", "source", F.unhex(F.sha2("text", 256)).alias("text_id"), n_tokens(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
     texts = stage_table(distinct_texts(sized, targets, seed), "mix-texts")
     rows = texts.join(F.broadcast(plan(texts, targets)), ["source", "cap"])  # a row per source and cap; the target list is fixed
-    drawn = sample(rows.select("source", "doc_id", "n_tokens", "pi"), seed).select("doc_id", F.lit(1).alias("extra"))
-    out = rows.join(drawn, "doc_id", "left").withColumn("copies", (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("int"))
-    return out.where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+    drawn = sample(rows.select("source", "doc_id", "n_tokens", "sure", "pi"), seed)
+    return drawn.select("doc_id", "source", "n_tokens", (F.col("sure") + F.col("pi")).cast("int").alias("copies")).where("copies > 0")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -28,11 +28,14 @@ def encoding(folder: str, name: str):
 
 
 def n_tokens(text: Column, folder: str = TOKENIZERS, name: str = VOCABULARY) -> Column:
-    """Number of tokens; 0 for null and empty texts."""
+    """Number of tokens; 0 for null and empty texts.
+
+    Marked as not deterministic only so that a filter on the count is not pushed below it, which would count twice.
+    """
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
         encode = encoding(folder, name).encode_ordinary
         return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
-    return count(text)
+    return count.asNondeterministic()(text)

@@ -10,7 +10,7 @@ SCHEMA = "doc_id bigint, text string, container int"
 def test_patterns_use_every_item_once_and_fit():
     rng = random.Random(3)
     for hist in ({1: 5}, {2047: 3, 1: 2}, {700: 9, 1400: 4}, {rng.randint(1, 2047): rng.randint(1, 60) for _ in range(120)}):
-        bound = packing.solve(dict(hist))[1]
+        bound = packing.solve(dict(hist))[2]
         patterns = packing.patterns_of(dict(hist))
         used = {}
         for p, k in patterns:
@@ -53,3 +53,23 @@ def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert packing.pack(docs).count() == 0
     assert packing.pack(spark.createDataFrame([(1, None, 1)], SCHEMA)).where(F.lit(True)).count() == 0
+
+
+def test_linear_program_is_solved_near_its_bound():
+    rng = random.Random(5)
+    for hist in ({x: rng.randint(1, 400) for x in rng.sample(range(1, 2048), 1500)}, {x: rng.randint(1, 50) for x in rng.sample(range(700, 2048), 600)}, {30: 100_000, **{x: 3 for x in range(900, 1300)}}):
+        counts, value, bound, _ = packing.solve(hist)
+        assert bound <= value * (1 + 1e-9) and value <= 1.01 * bound
+        used = {}
+        for pattern, k in counts.items():
+            assert sum(x * c for x, c in pattern) <= packing.CAPACITY
+            for x, c in pattern:
+                used[x] = used.get(x, 0) + c * k
+        assert all(used[x] <= hist[x] * (1 + 1e-9) for x in used)
+
+
+def test_weights_are_learned_between_passes():
+    rng = random.Random(5)
+    hist = {x: rng.randint(1, 400) for x in rng.sample(range(1, 2048), 1500)}
+    learned = packing.solve(hist)[3]
+    assert learned[-100:].mean() > 1.05 * learned[:100].mean()  # long items are hard to place and become dear
