@@ -1,19 +1,20 @@
 """Problem 9: keyword-stuffed pages, link lists, navigation and product tags.
 
-A text is cut into blocks (a line of writing is one, the lines between two such lines are one) and every block is judged from
+A text is cut into blocks (a line of writing is one, the lines between two such lines are one), a block into a sequence
+of terms, in which every link and every hash sign is one mark. Blocks are judged by the statistics of that sequence:
 
-* its share of function words (writing has them in any language, lists have not),
-* term recurrence: the share of terms seen again within ``LAG`` positions, and the highest positional
-  autocorrelation over the lags 1..``LAG`` (how often a term equals the term l places before),
-* lists of different terms: almost no function words, no sentences and no layout of an honest list,
-* links, hash tags and product codes per character,
-* layout that lists legitimately have: bibliographies, tables of numbers, glossaries, contents, numbered steps.
+* term recurrence gaps: the share of terms met again within ``LAG`` places;
+* positional autocorrelation: the share of places whose term equals the term l places before, counted for every
+  lag 1..``LAG`` and for the ``LONG_LAGS`` most frequent longer recurrence gaps (a longer period piles up there);
+* the share of function words (writing has them in any language, lists have not) and how few different ones make it up;
+* recurrence gaps of the marks: a link or hash sign at least every ``LINK_TERMS`` terms;
+* lists of different terms: almost no function words and no sentences, whether or not anything recurs.
 
-A document is flagged when blocks of stuffing make up more than ``SHARE`` of its characters. The judgement is local
-to one document: one narrow vectorised pass over whole texts, no shuffle, nothing depends on a hot site.
+Lists that people write keep their layout and are left alone: bibliographies, tables of numbers, glossaries (lines
+``name: text`` with different names), contents, numbered steps.
 
-Defined results: null and blank texts are not flagged; texts with too few terms to show any pattern are not
-flagged; repeated rows are judged alike; very long texts are judged whole (the recurrence pass is linear).
+Defined results: null and blank texts are not flagged; a block of fewer than ``LEAST_TERMS`` terms has no statistics and
+counts neither way (a heading, a caption), so a text of nothing else is not flagged; repeated rows are judged alike; very long texts are judged whole (the recurrence pass is linear).
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LAG = 48
+LONG_LAGS = 8
 SHARE = 0.5
 #: Below ``FEW`` function words per term a block is a list; below ``SOME`` it is one if its terms recur regularly.
 FEW, SOME = 0.085, 0.17
@@ -36,6 +39,8 @@ AUTOCORRELATION = 0.22
 LEAST_TERMS = 8
 #: Terms from which a block without function words, sentences or honest layout is a keyword list, and the terms a sentence has.
 LIST_TERMS, SENTENCE_TERMS = 24, (5.5, 40)
+#: Terms to a link or hash sign up to which their recurrence makes a block a list of them.
+LINK_TERMS = 10
 #: Terms in a window of a long line, and the share of function words from which a line is surely writing throughout.
 WINDOW, SPARSE = 40, 0.24
 #: Different function words from which a block counts as writing even if its terms recur.
@@ -52,24 +57,25 @@ FUNCTION_WORDS = frozenset(
 )
 FUNCTION_CHARACTERS = frozenset("的了在是与将该后仍于经下中和为其及而并被由以至从则但或把上前时间")
 
-_TERM = re.compile(r"[^\W\d_]+")
+#: Marks that stand for a link and for a hash sign in the sequence of terms.
+LINK, TAG = "\x01", "\x02"
+_TERM = re.compile(r"[^\W\d_]+|[\x01\x02]")
 _NUMBERS = re.compile(r"\d+(?:[.,]\d+)*")
 _LINK = re.compile(r"https?://(?!doi\.|dx\.doi|[^\s/]*/10\.\d{4})[^\s)\]>\"']+|<a\s[^>]*>|\]\([^)]*\)|\b(?:[a-z0-9][a-z0-9-]*\.)+(?:com|net|org|info|biz|shop|store|online|io|co|cn|de|ru|example|test|invalid)\b(?:/[^\s)\]>\"']*)?", re.I)
-_TAG = re.compile(r"(?:^|\s)#\w+")
-_LABEL = re.compile(r"(?:^|\s)(?:tags?|keywords?|labels?|schlagw[oö]rter|étiquettes|etiquetas|标签) ?[:：]", re.I)
-_PRODUCT = re.compile(r"\bSKU\b|\bin stock\b|\badd to (?:cart|basket)\b|[$€£¥] ?\d", re.I)
+_TAG = re.compile(r"(?:^|(?<=\s))#(?=\w)")
 _CITED = re.compile(r"^ ?\[?\d+[\].)] .*(?:\b(?:19|20)\d\d\b|doi)", re.I)
-_ENTRY = re.compile(r"^[^:|#]{1,60}: [^:]{1,200}$|\.{3,} ?\d+ ?$|^\d+[.)] +\w[^.]*\.$|^\d+(?:\.\d+)* +\w.*\.{2,}")
-#: Labels of site navigation.
-_NAVIGATION = re.compile(
-    r"\b(?:back to top|read more|click here|view all|next page|previous page|related products|wish ?list|newsletter|site ?map|log ?in|sign (?:in|up)|privacy|terms|cart(?: \(\d+\))?|home|compare|share)\b", re.I
-)
+_NAMED = re.compile(r"^([^:|#]{1,60}): [^:]{1,200}$")
+_ENTRY = re.compile(r"\.{3,} ?\d+ ?$|^\d+[.)] +\w[^.]*\.$|^\d+(?:\.\d+)* +\w.*\.{2,}")
 _SENTENCE_END = re.compile(r"[.!?](?=\s|$)|[。！？]")
 _ITEM = re.compile(r"[.,;:|•›»★!?>\n\t]+| - |  +")
 
 
 def terms(text: str) -> tuple[list[str], int, int]:
-    """Lower-case terms (Han characters singly); how many are function words, and how many different ones."""
+    """Lower-case terms (Han characters singly, links and hash signs as marks); how many are function words, and how many different ones."""
+    if "." in text or "](" in text or "<" in text:
+        text = _LINK.sub(f" {LINK} ", text.replace("</a>", " "))
+    if "#" in text:
+        text = _TAG.sub(f"{TAG} ", text)
     found = _TERM.findall(text.lower())
     kinds = len(FUNCTION_WORDS.intersection(found))
     if text.isascii():
@@ -87,19 +93,16 @@ def terms(text: str) -> tuple[list[str], int, int]:
 
 
 def recurrence(found: list[str], lag: int = LAG) -> tuple[float, float]:
-    """(share of terms met again within ``lag`` places, highest autocorrelation over lags 1..``lag``)."""
-    last: dict[str, int] = {}
-    gaps = [0] * (lag + 1)
-    near = 0
-    for i, w in enumerate(found):
-        gap = i - last.get(w, -lag - 1)
-        if gap <= lag:
-            near += 1
-            gaps[gap] += 1
-        last[w] = i
+    """(share of terms met again within ``lag`` places, highest positional autocorrelation over the lags)."""
     n = len(found)
-    # the gap to the nearest earlier copy counts for autocorrelation at that lag: a regular period piles up there
-    return near / n, max(gaps) / n
+    codes: dict[str, int] = {}
+    x = np.array([codes.setdefault(w, len(codes)) for w in found], dtype=np.int32)
+    order = np.argsort(x, kind="stable")
+    gaps = np.diff(order)[x[order][1:] == x[order][:-1]]  # places between a term and its next copy
+    near = int((gaps <= lag).sum())
+    far, times = np.unique(gaps[gaps > lag], return_counts=True)
+    lags = [*range(1, min(lag, n - 1) + 1), *far[np.argsort(-times, kind="stable")[:LONG_LAGS]].tolist()]
+    return near / n, max((int(np.count_nonzero(x[g:] == x[:-g])) for g in lags), default=0) / n
 
 
 def is_writing(line: str, n: int, function: int, kinds: int) -> bool:
@@ -133,6 +136,21 @@ def keyword_list(lines: list[str], n: int) -> bool:
     return len(lines) < 3 or sum(1 for x in lines if _NUMBERS.search(x)) * 2 < len(lines)
 
 
+def honest_layout(lines: list[str], marks: int, n: int) -> bool:
+    """Whether most lines are references, entries of a glossary or of contents, numbered steps or rows of a table."""
+    half = len(lines) / 2
+    if sum(1 for x in lines if _CITED.search(x)) >= half:
+        return True
+    if marks:
+        return False
+    names = [m[1].lower() for x in lines if (m := _NAMED.match(x))]
+    # one name on line after line is a label and not an entry
+    entries = len(names) if 2 * len(set(names)) > len(names) else 0
+    if entries + sum(1 for x in lines if _ENTRY.search(x) or "\t" in x) >= half:
+        return True
+    return sum(len(_NUMBERS.findall(x)) for x in lines) > n
+
+
 def stuffed(lines: list[str], found: list[str], function: int, kinds: int) -> bool | None:
     """Whether a block is stuffing; None when it says nothing either way (a heading, a few terms)."""
     if not found:
@@ -140,34 +158,23 @@ def stuffed(lines: list[str], found: list[str], function: int, kinds: int) -> bo
     body = "\n".join(lines)
     n = len(found)
     share = function / n
-    if sum(1 for x in lines if _CITED.search(x)) * 2 >= len(lines):
+    marks = sum(w in (LINK, TAG) for w in found)
+    if honest_layout(lines, marks, n):
         return False
-    links = len(_LINK.findall(body))
-    if links and len(body) / links < 110:
-        return True
-    tags = len(_TAG.findall(body))
-    marked = 24 * tags * (tags > 1) + 90 * len(_PRODUCT.findall(body)) + 130 * len(_LABEL.findall(body)) * (share < FEW)
-    if marked > 0.6 * len(body):
+    if marks and n <= LINK_TERMS * marks:
         return True
-    if not links and sum(1 for x in lines if _ENTRY.search(x) or "\t" in x) * 2 >= len(lines):
-        return False
-    if len(_NUMBERS.findall(body)) > n:
-        return False
     if n < LEAST_TERMS:
         return None
     if share >= SOME and kinds >= WORDS_OF_WRITING:
         return False
     near, regular = recurrence(found)
-    if share < 0.8 * SOME and len(_NAVIGATION.findall(body)) * 10 > n:
-        return True
     if share < FEW:
-        # a cycle of more than LAG terms shows in gaps of any length
-        return near >= RECURRENCE * 0.4 or recurrence(found, n)[1] >= AUTOCORRELATION / 2 or keyword_list(lines, n)
+        return near >= RECURRENCE * 0.4 or regular >= AUTOCORRELATION / 2 or keyword_list(lines, n)
     items = sum(1 for x in _ITEM.split(body) if len(x) > 1)
     if n >= 24 and few_kinds(found) <= 2 and (n < 5.5 * items or n >= 60 and near >= 1.25 * RECURRENCE):
         return near >= RECURRENCE * 0.8
     if share < SOME * 0.8 and n < 3.5 * items:
-        return near >= RECURRENCE / 2
+        return near >= RECURRENCE / 2 or keyword_list(lines, n)
     return share < SOME and n < 5.5 * items and (near >= RECURRENCE or regular >= AUTOCORRELATION and near >= RECURRENCE * 0.8)
 
 

@@ -39,9 +39,29 @@ def test_honest(kind):
     assert stuffing.stuffing_share(HONEST[kind]) <= stuffing.SHARE
 
 
+def brute_autocorrelation(found):
+    return max(sum(found[i] == found[i - lag] for i in range(lag, len(found))) for lag in range(1, len(found))) / len(found)
+
+
 def test_recurrence():
     assert stuffing.recurrence(["a", "b"] * 10) == (0.9, 0.9)
     assert stuffing.recurrence([str(i) for i in range(50)]) == (0.0, 0.0)
+    # recurs inside its period: the gaps alone would say 0.5
+    assert stuffing.recurrence(list("abac") * 20) == (77 / 80, 76 / 80)
+    # a period longer than the window
+    cycle = [str(i) for i in range(90)] * 6
+    assert stuffing.recurrence(cycle) == (0.0, brute_autocorrelation(cycle))
+    import random
+
+    rng = random.Random(4)
+    for _ in range(20):
+        found = [rng.choice("abcdefgh") for _ in range(rng.randint(2, stuffing.LAG))]
+        assert stuffing.recurrence(found)[1] == brute_autocorrelation(found)
+
+
+@pytest.mark.parametrize("mark", [", ", " "])
+def test_different_nouns_without_function_words(mark):
+    assert stuffing.stuffing_share(mark.join(_names(59))) == 1.0
 
 
 def test_documents(spark):
