@@ -1,19 +1,19 @@
 """Problem 2: freely typed names -> the one entry of a reference list they denote, or 0.
 
-A symmetric-delete dictionary holds, for every spelling of every reference entry, the spelling and all spellings
-with up to ``MAX_EDITS`` characters deleted. A name is brought to its keys (look-alikes folded; hydrate, purity and
-sample wording dropped; word order, notation of formulas and of framework codes unified), and each key's own
-deletions are looked up. Candidates are verified and ranked by weighted Damerau-Levenshtein distance, ties by
-how often the entry is named exactly in the corpus, then by id. Digits, roman numerals and functional groups are
-never edited: another number makes another material.
-
-The reference list is fixed and small (checked against ``REFERENCE_BOUND``), so the dictionary is broadcast and the
-mapping is a narrow, shuffle-free pass whatever name is hot. Above the bound the same keys and deletions are
-matched by equi-join instead (``match_by_join``).
+A symmetric-delete dictionary holds, for every spelling of every reference entry, the strings left after deleting
+characters of its first ``PREFIX``: one for keys of ``LEAST_LETTERS`` letters, two for keys of ``TWO_EDITS`` and more. A name
+is brought to its keys (look-alikes folded; hydrate, purity and sample wording dropped; word order, notation of
+formulas and of framework codes unified), and each key's own deletions are looked up; two strings within k edits share a
+string that is k deletions in their prefixes away from both, so the prefix loses nothing and long keys stay cheap. Candidates are
+verified and ranked by weighted Damerau-Levenshtein distance, ties by how often the entry is named exactly in the
+corpus, then by id. Digits, roman numerals and functional groups are never edited: another number makes another material.
+
+While the reference list has at most ``REFERENCE_BOUND`` entries (checked), the dictionary is broadcast and the mapping
+is a narrow, shuffle-free pass whatever name is hot. Beyond, the same keys, deletions, verification and ranking run as equi-joins
+over the distinct names (``mapped`` goes over by itself; the rows are the same on both sides of the bound).
 
 Defined results: null, blank and null-like names, and names nothing in the list is near to, map to 0
-(``misses`` reports them with counts); repeated rows map alike; names of any length are handled whole (names
-longer than ``FUZZY_LENGTH`` characters after normalisation are only matched exactly, as no entry is that long).
+(``misses`` reports them with counts); repeated rows map alike; names of any length are handled whole.
 """
 
 from __future__ import annotations
@@ -28,16 +28,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagekg.functions.lookalike import plain_text
+from passagekg.runtime import stage_table
 
-MAX_EDITS = 1
+#: Letters from which a key may be reached by one edit and by two (shorter ones are near to each other by themselves).
+LEAST_LETTERS, TWO_EDITS = 5, 12
+#: Characters in which deletions are made.
+PREFIX = 14
 REFERENCE_BOUND = 20_000
-FUZZY_LENGTH = 160
-#: Shortest key (letters) that may be reached by an edit.
-LEAST_LETTERS = 5
 
 #: Words that say nothing about which entry is meant.
 NULL_WORDS = frozenset(["", "-", "--", "n/a", "na", "nan", "none", "null", "nil", "unknown", "not reported", "not given", "not specified", "unspecified", "?", "tbd"])
-#: Trade and lab wordings of an entry that share no word with its names.
+#: Trade and lab wordings of an entry that share no word with its names, so that no edit leads to them; general
+#: laboratory language, each the usual name of the method or solvent elsewhere. A caller may pass a list of their own.
 SYNONYMS = {
     "sonochemical synthesis": ("ultrasonication", "sonication", "ultrasonic synthesis"),
     "mechanochemical synthesis": ("ball-milled", "ball mill", "liquid-assisted grinding", "grinding", "LAG"),
@@ -170,12 +172,24 @@ def reference_spellings(canonical_name: str, other_names, formula: str | None, e
     return list(dict.fromkeys(n for n in names if n and n.strip()))
 
 
-def deletions(key: str, edits: int = MAX_EDITS) -> set[str]:
-    """``key`` and every string left after deleting up to ``edits`` characters."""
-    out, last = {key}, {key}
+def edits_allowed(key: str) -> int:
+    """Edits by which a reference key may be missed."""
+    letters = 0 if key.startswith("code ") else sum(map(str.isalpha, key))
+    return (letters >= LEAST_LETTERS) + (letters >= TWO_EDITS)
+
+
+def edits_tried(key: str) -> int:
+    """Edits by which a name's key may have left the reference key it stands for, which may have lost its letters by them."""
+    letters = 0 if key.startswith("code ") else sum(map(str.isalpha, key))
+    return (letters >= LEAST_LETTERS - 1) + (letters >= TWO_EDITS - 2)
+
+
+def deletions(key: str, edits: int) -> set[str]:
+    """The first ``PREFIX`` characters of ``key`` and every string left after deleting up to ``edits`` of them."""
+    out = last = {key[:PREFIX]}
     for _ in range(edits):
         last = {k[:i] + k[i + 1 :] for k in last for i in range(len(k))}
-        out |= last
+        out = out | last
     return out
 
 
@@ -194,10 +208,6 @@ def distance(a: str, b: str) -> float:
     return one[-1]
 
 
-def editable(key: str) -> bool:
-    return not key.startswith("code ") and sum(c.isalpha() for c in key) >= LEAST_LETTERS and len(key) <= FUZZY_LENGTH
-
-
 def admissible(query: str, known: str) -> bool:
     """An edit may not touch numbers, oxidation states or functional groups."""
     if re.findall(r"\d+", query) != re.findall(r"\d+", known):
@@ -219,6 +229,15 @@ def _whole_groups(query: str, known: str) -> bool:
     return False
 
 
+def verified(query: str, known: str) -> float | None:
+    """Weighted distance of a candidate; None if it is too far or the edits are not admissible."""
+    edits = edits_allowed(known)
+    if not edits or abs(len(query) - len(known)) > edits or not admissible(query, known):
+        return None
+    d = distance(query, known)
+    return round(d, 3) if d <= edits else None
+
+
 class Dictionary:
     """Symmetric-delete dictionary over the reference list."""
 
@@ -230,8 +249,8 @@ class Dictionary:
             for rank, spelling in enumerate(spellings):
                 for key in keys(spelling, reference=True):
                     owners[key].setdefault(canon_id, rank)
-                    if editable(key):
-                        for d in deletions(key):
+                    if edits_allowed(key):
+                        for d in deletions(key, edits_allowed(key)):
                             near[d].add(key)
         self.exact = {k: tuple(sorted(v, key=lambda c: (v[c] > 0, c))) for k, v in owners.items()}
         self.near = {k: tuple(sorted(v)) for k, v in near.items()}
@@ -250,23 +269,29 @@ class Dictionary:
                 return min(self.exact[key], key=lambda c: (-frequency.get(c, 0), c)), 0.0
         best: tuple[float, int, int] | None = None
         for key in ks:
-            if not editable(key):
-                continue
-            for known in {k for d in deletions(key) for k in self.near.get(d, ())}:
-                if admissible(key, known) and (w := distance(key, known)) <= MAX_EDITS:
+            tried = edits_tried(key)
+            for known in {k for d in deletions(key, tried) for k in self.near.get(d, ())} if tried else ():
+                w = verified(key, known)
+                if w is not None:
                     for c in self.exact[known]:
-                        rank = (round(w, 3), -frequency.get(c, 0), c)
+                        rank = (w, -frequency.get(c, 0), c)
                         best = min(best, rank) if best else rank
         return (best[2], best[0]) if best else (0, float("nan"))
 
 
-def entries(canon: DataFrame, symbols: DataFrame) -> list[tuple[int, list[str]]]:
-    """Reference list with all spellings, on the driver; refuses a list beyond ``REFERENCE_BOUND``."""
+def symbol_table(symbols: DataFrame) -> dict[str, str]:
+    """Element symbols (fixed by nature, so a driver-side table)."""
+    return {r.symbol: r.element for r in symbols.limit(1000).collect()}
+
+
+def dictionary(canon: DataFrame, symbols: DataFrame):
+    """The dictionary of a reference list as a broadcast variable, or None where the list has more than ``REFERENCE_BOUND`` entries."""
     rows = canon.select("canon_id", "entity_type", "canonical_name", "other_names", "formula").limit(REFERENCE_BOUND + 1).collect()
     if len(rows) > REFERENCE_BOUND:
-        raise ValueError(f"reference list beyond {REFERENCE_BOUND} entries: use match_by_join")
-    table = {r.symbol: r.element for r in symbols.limit(1000).collect()}
-    return [(r.canon_id, reference_spellings(r.canonical_name, r.other_names, r.formula, r.entity_type, table)) for r in rows if r.canonical_name]
+        return None
+    table = symbol_table(symbols)
+    known = Dictionary([(r.canon_id, reference_spellings(r.canonical_name, r.other_names, r.formula, r.entity_type, table)) for r in rows if r.canonical_name])
+    return canon.sparkSession.sparkContext.broadcast(known)
 
 
 def name_rows(results: DataFrame, gold: DataFrame) -> DataFrame:
@@ -321,11 +346,15 @@ def _find_udf(shared, frequency):
     return find
 
 
-def mapped(rows: DataFrame, canon: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``rows`` (with ``name``) plus canon_id (0: not in the list) and distance, which replace columns of these names."""
+def mapped(rows: DataFrame, canon: DataFrame, symbols: DataFrame, shared=None) -> DataFrame:
+    """``rows`` (with ``name``) plus canon_id (0: not in the list) and distance, which replace columns of these names.
+
+    ``shared`` is the :func:`dictionary` of the list, if the caller has it already.
+    """
     rows = rows.drop("canon_id", "distance")
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(Dictionary(entries(canon, symbols)))
+    shared = shared or dictionary(canon, symbols)
+    if shared is None:
+        return _mapped_by_join(rows, canon, symbols)
     exact = _exact_udf(shared)
     # corpus frequency of each entry: at most one row per reference entry reaches the driver
     counts = rows.groupBy("name").agg(F.count("*").alias("n")).groupBy(exact("name").alias("c")).agg(F.sum("n").alias("n"))
@@ -333,26 +362,65 @@ def mapped(rows: DataFrame, canon: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.withColumn("_f", _find_udf(shared, frequency)("name")).select(*rows.columns, "_f.canon_id", "_f.distance")
 
 
-_KEYS = F.udf(lambda n: list(keys(n)), T.ArrayType(T.StringType()))
+_STRINGS = T.ArrayType(T.StringType())
 
 
-def match_by_join(names: DataFrame, spellings: DataFrame) -> DataFrame:
-    """The dictionary as an equi-join, for reference lists beyond the bound.
+@F.pandas_udf(_STRINGS)
+def _keys_udf(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: list(keys(n)))
 
-    ``names`` (name), ``spellings`` (canon_id, spelling); returns one row per distinct name: (name, canon_id,
-    distance), 0 for misses. Frequencies are not ranked on here; ties go to the smaller id.
-    """
-    ref_keys = F.udf(lambda n: list(keys(n, True)), T.ArrayType(T.StringType()))
-    dels = F.udf(lambda k: sorted(deletions(k)) if editable(k) else [k], T.ArrayType(T.StringType()))
-    weight = F.udf(lambda a, b: 0.0 if a == b else distance(a, b) if editable(a) and editable(b) and admissible(a, b) else None, T.DoubleType())
-    known = spellings.select("canon_id", F.explode(ref_keys("spelling")).alias("known")).distinct().select("canon_id", "known", F.explode(dels("known")).alias("d"))
-    asked = names.select("name").distinct()
-    probes = asked.select("name", F.posexplode(_KEYS("name")).alias("rank", "key")).select("name", "rank", "key", F.explode(dels("key")).alias("d"))
-    pairs = probes.join(known, "d").select("name", "rank", "key", "canon_id", "known").distinct().withColumn("distance", weight("key", "known"))
-    pairs = pairs.where(F.col("distance") <= MAX_EDITS)
-    exact_first = F.struct(F.when(F.col("distance") == 0, F.col("rank")).otherwise(F.lit(1 << 20)), F.col("distance"), F.col("canon_id"))
-    best = pairs.groupBy("name").agg(F.min_by(F.struct("canon_id", "distance"), exact_first).alias("b"))
-    return asked.join(best, "name", "left").select("name", F.coalesce("b.canon_id", F.lit(0)).alias("canon_id"), F.col("b.distance").alias("distance"))
+
+@F.pandas_udf(_STRINGS)
+def _known_keys_udf(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: list(keys(n, True)))
+
+
+@F.pandas_udf(_STRINGS)
+def _tried_udf(ks: pd.Series) -> pd.Series:
+    return ks.map(lambda k: sorted(deletions(k, edits_tried(k))) if edits_tried(k) else [])
+
+
+@F.pandas_udf(_STRINGS)
+def _allowed_udf(ks: pd.Series) -> pd.Series:
+    return ks.map(lambda k: sorted(deletions(k, edits_allowed(k))) if edits_allowed(k) else [])
+
+
+@F.pandas_udf(T.DoubleType())
+def _verified_udf(query: pd.Series, known: pd.Series) -> pd.Series:
+    return pd.Series([verified(q, k) for q, k in zip(query, known, strict=True)], dtype="float64")
+
+
+def _spellings_udf(table: dict[str, str]):
+    @F.pandas_udf(_STRINGS)
+    def spellings(names: pd.Series, others: pd.Series, formulas: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([reference_spellings(n, o, f, k, table) if n else [] for n, o, f, k in zip(names, others, formulas, kinds, strict=True)])
+
+    return spellings
+
+
+def _mapped_by_join(rows: DataFrame, canon: DataFrame, symbols: DataFrame) -> DataFrame:
+    """:func:`mapped` for a reference list of any size: keys and deletions of the distinct names meet those of the list in equi-joins."""
+    spelled = _spellings_udf(symbol_table(symbols))("canonical_name", "other_names", "formula", "entity_type")
+    known = canon.where("canonical_name IS NOT NULL").select("canon_id", F.posexplode(spelled).alias("rank", "spelling"))
+    known = known.select("canon_id", "rank", F.explode(_known_keys_udf("spelling")).alias("key")).groupBy("key", "canon_id").agg(F.min("rank").alias("rank"))
+    known = stage_table(known, "known-keys")
+    asked = stage_table(rows.groupBy("name").agg(F.count("*").alias("n")).withColumn("ks", _keys_udf("name")), "asked-names")
+    probes = asked.select("name", "n", F.posexplode("ks").alias("pos", "key"))
+    hits = stage_table(probes.join(known, "key").select("name", "n", "pos", "rank", "canon_id"), "key-hits")
+    plain = hits.groupBy("name").agg(F.min("n").alias("n"), F.min(F.struct("pos", F.col("rank") > 0, "canon_id")).alias("b"))
+    frequency = stage_table(plain.groupBy(F.col("b.canon_id").alias("canon_id")).agg(F.sum("n").alias("f")), "entry-counts")
+    often = -F.coalesce(F.col("f"), F.lit(0))
+    exact = hits.join(frequency, "canon_id", "left").groupBy("name").agg(F.min(F.struct("pos", often.alias("o"), "canon_id")).alias("b"))
+    exact = exact.select("name", F.col("b.canon_id").alias("canon_id"), F.lit(0.0).alias("distance"))
+    rest = probes.join(hits.select("name").distinct(), "name", "left_anti")
+    tried = rest.select("name", "key", F.explode(_tried_udf("key")).alias("d"))
+    allowed = known.select("key").distinct().select(F.col("key").alias("known"), F.explode(_allowed_udf("key")).alias("d"))
+    near = tried.join(allowed, "d").select("name", "key", "known").distinct().withColumn("distance", _verified_udf("key", "known")).where("distance IS NOT NULL")
+    owners = near.join(known.select(F.col("key").alias("known"), "canon_id"), "known").join(frequency, "canon_id", "left")
+    fuzzy = owners.groupBy("name").agg(F.min(F.struct("distance", often.alias("o"), "canon_id")).alias("b")).select("name", "b.canon_id", "b.distance")
+    found = exact.unionByName(fuzzy)
+    out = rows.join(found, "name", "left")
+    return out.select(*rows.columns, F.coalesce("canon_id", F.lit(0)).cast("bigint").alias("canon_id"), "distance")
 
 
 def misses(found: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ list and quantities to base units. Sorted neighbourhood over three composite sor
 
     metal | linker | time  | yield        metal | linker | yield | temperature        metal | linker | time | temperature
 
-Entries of both sources are sorted together by each key, and a window slides over the last part of the key. The
-window is bounded by value (the tolerance), not by a number of rows, so no neighbour within tolerance is ever lost and
-none beyond it is looked at. Candidates are compared by weighted field similarities (``confidence``);
-``one_to_one`` then assigns each side at most one partner, maximising total confidence: contested pairs fall into
-connected components, and each is solved exactly by shortest augmenting paths, whatever the size of the whole.
+The window that slides over the last part of a key is bounded by value (the tolerance), not by a number of rows, so no
+neighbour within tolerance is ever lost and none beyond it is looked at. It runs as a banded join: the sort order is cut
+into stretches of the last part, each gold entry is in one stretch, and a merged row is in every stretch its window
+reaches. Only gold entries probe, nothing is listed per row, and ties cost no more than the pairs they are. Each of the three
+keys compares its neighbours at once by weighted field similarities (``confidence``); ``one_to_one`` then assigns each side at
+most one partner, maximising total confidence: contested pairs fall into connected components, and each is solved
+exactly by shortest augmenting paths, whatever the size of the whole.
 
 Defined results: entries without metal or linker, or with fewer than two of the three quantities, have no candidate;
 a value null on one side is not compared; ranges and repeated statements count as several values of which any may
@@ -35,28 +37,34 @@ from passagekg.runtime import stage_table
 TEMPERATURE_TOLERANCE = 60  # in 0.01 degrees C
 #: Length of a stretch of temperatures that one window holds.
 STRETCH = 500
+#: Composite sort keys: (leading parts, last part, tolerance of its window, length of a stretch).
+KEYS = (
+    (["metal", "linker", "time"], "yield", 0, 1),
+    (["metal", "linker", "yield"], "temperature", TEMPERATURE_TOLERANCE, STRETCH),
+    (["metal", "linker", "time"], "temperature", TEMPERATURE_TOLERANCE, STRETCH),
+)
 #: Weights of the field similarities.
 WEIGHTS = {"temperature": 0.3, "time": 0.25, "yield": 0.25, "solvents": 0.1, "linker": 0.1}
 #: Contested edges up to which components are found and solved in one place; beyond, by Spark, with the same result.
 LOCAL_EDGES = 20_000
 
-_SHORTHAND = T.StructType([T.StructField("metal", T.StringType()), T.StructField("linker", T.LongType())])
+_SHORTHAND = T.StructType([T.StructField("metal", T.StringType()), T.StructField("name", T.StringType())])
 _WORDING = re.compile(r"^(?:as-synthesi[sz]ed|as-made|activated|nano|pristine|desolvated)[ -]|[ -](?:crystals?|powders?|framework|sample)$", re.I)
 
 
-def _shorthand_udf(shared, symbols: dict[str, str]):
+def _shorthand_udf(symbols: dict[str, str]):
+    """Subject names such as ``activated Zn-MIM`` read as (metal symbol, linker wording)."""
     by_case = {s.lower(): s for s in symbols}
 
-    def read(name: str | None) -> tuple[str | None, int | None]:
+    def read(name: str | None) -> tuple[str | None, str | None]:
         text = _WORDING.sub("", _WORDING.sub("", plain_text(name or "")))
         m = re.fullmatch(r"([A-Za-z]{1,2}) ?[-_ ] ?(.+)", text)
         metal = m and by_case.get(m[1].lower())
-        linker = shared.value.exactly(m[2]) if metal else 0
-        return (metal, linker) if linker else (None, None)
+        return (metal, m[2]) if metal else (None, None)
 
     @F.pandas_udf(_SHORTHAND)
     def shorthand(names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read(n) for n in names], columns=["metal", "linker"]).astype({"linker": "Int64"})
+        return pd.DataFrame([read(n) for n in names], columns=["metal", "name"])
 
     return shorthand
 
@@ -66,40 +74,40 @@ def _gold_triples(gold: DataFrame) -> DataFrame:
     return t.where("t IS NOT NULL").select("line_no", "passage_id", "ix", F.upper(F.trim("t.relation")).alias("relation"), F.col("t.subject_name").alias("subject"), F.col("t.object_name").alias("object"))
 
 
-def gold_entries(gold: DataFrame, canon: DataFrame, symbols: DataFrame) -> DataFrame:
+def gold_entries(gold: DataFrame, canon: DataFrame, symbols: DataFrame, shared=None) -> DataFrame:
     """(line_no, passage_id, metal, linker, linker_distance, temperatures, times, yields, solvents)."""
-    spark = gold.sparkSession
     triples = _gold_triples(gold)
-    named = triples.where(F.col("relation").isin("USES_PRECURSOR", "USES_LINKER", "IN_SOLVENT") & F.col("object").isNotNull())
-    named = canonical.mapped(named.select("line_no", "ix", "relation", F.col("object").alias("name")), canon, symbols)
-    element = symbols.select("symbol", F.col("element"))
-    kinds = canon.select("canon_id", "entity_type", F.split("canonical_name", " ")[0].alias("element"), "pubchem_cid").join(F.broadcast(element), "element", "left")
-    known = named.join(F.broadcast(kinds), "canon_id")  # the reference list: fixed size, checked by canonical.entries
+    objects = triples.where(F.col("relation").isin("USES_PRECURSOR", "USES_LINKER", "IN_SOLVENT") & F.col("object").isNotNull())
+    objects = objects.select("line_no", "ix", "relation", F.lit(None).cast("string").alias("said_metal"), F.col("object").alias("name"))
+    read = _shorthand_udf(canonical.symbol_table(symbols))
+    subjects = triples.where("subject IS NOT NULL").select("line_no", "ix", F.lit("subject").alias("relation"), read("subject").alias("s")).where("s.metal IS NOT NULL")
+    named = objects.unionByName(subjects.select("line_no", "ix", "relation", F.col("s.metal").alias("said_metal"), "s.name"))
+    named = canonical.mapped(named, canon, symbols, shared)
+    kinds = canon.select("canon_id", "entity_type", F.split("canonical_name", " ")[0].alias("element"), "pubchem_cid").join(symbols.select("symbol", "element"), "element", "left")
+    known = named.join(kinds, "canon_id")  # left to the planner, which broadcasts the list while it is small
     first = lambda cond, value: F.min_by(value, F.when(cond, F.col("ix")))
     is_metal = (F.col("relation") == "USES_PRECURSOR") & (F.col("entity_type") == "MetalPrecursor")
     is_linker = (F.col("relation") == "USES_LINKER") & (F.col("entity_type") == "OrganicLinker")
+    is_subject = (F.col("relation") == "subject") & (F.col("distance") == 0)
     names = known.groupBy("line_no").agg(
         first(is_metal, F.col("symbol")).alias("metal"), first(is_linker, F.col("canon_id")).alias("linker"), first(is_linker, F.col("distance")).alias("linker_distance"),
+        first(is_subject, F.col("said_metal")).alias("s_metal"), first(is_subject, F.col("canon_id")).alias("s_linker"),
         F.array_distinct(F.collect_list(F.when(F.col("relation") == "IN_SOLVENT", F.col("pubchem_cid")))).alias("solvents"),
     )
-    table = {r.symbol: r.element for r in symbols.limit(1000).collect()}
-    shared = spark.sparkContext.broadcast(canonical.Dictionary(canonical.entries(canon, symbols)))
-    subjects = triples.where("subject IS NOT NULL").select("line_no", "ix", _shorthand_udf(shared, table)("subject").alias("s")).where("s.metal IS NOT NULL")
-    subjects = subjects.groupBy("line_no").agg(F.min_by("s.metal", "ix").alias("s_metal"), F.min_by("s.linker", "ix").alias("s_linker"))
     stated = triples.where(F.col("relation").isin("AT_CONDITION", "HAS_PROPERTY")).select("line_no", F.col("object").alias("name"))
     measures = stage_table(units.measurements(stated), "gold-measures")
     base = units.to_base(measures)
     values = lambda q: F.array_sort(F.collect_set(F.when(F.col("quantity") == q, F.col("value_base"))))
     quantities = base.groupBy("line_no").agg(values("temperature").alias("temperatures"), values("time").alias("times"), values("yield").alias("yields"))
     lines = triples.select("line_no", "passage_id").distinct()
-    joined = lines.join(names, "line_no", "left").join(subjects, "line_no", "left").join(quantities, "line_no")
+    joined = lines.join(names, "line_no", "left").join(quantities, "line_no")
     return joined.select(
         "line_no", "passage_id", F.coalesce("metal", "s_metal").alias("metal"), F.coalesce("linker", "s_linker").alias("linker"), F.coalesce("linker_distance", F.lit(0.0)).alias("linker_distance"),
         "temperatures", "times", "yields", F.coalesce("solvents", F.array().cast("array<bigint>")).alias("solvents"),
     ).where("metal IS NOT NULL AND linker IS NOT NULL")
 
 
-def merged_entries(merged: DataFrame, canon: DataFrame, symbols: DataFrame) -> DataFrame:
+def merged_entries(merged: DataFrame, canon: DataFrame, symbols: DataFrame, shared=None) -> DataFrame:
     """(refcode, metal, linker, linker_distance, temperature, time, yield, solvents), one per distinct row."""
     refcode = F.upper(F.regexp_replace("refcode", r"(?U)^\s+|\s+$", ""))
     metal = F.trim(F.coalesce("metal_ele1", "metal"))
@@ -111,52 +119,37 @@ def merged_entries(merged: DataFrame, canon: DataFrame, symbols: DataFrame) -> D
         F.round(F.nanvl(F.col("time_h"), F.lit(None).cast("double")) * 3600).cast("bigint").alias("time"), F.round(percent * 10).cast("bigint").alias("yield"),
         F.array_sort(F.array_distinct(F.filter(solvents, lambda s: s.isNotNull()))).alias("solvents"),
     ).where("refcode <> '' AND metal IS NOT NULL AND name IS NOT NULL").distinct()
-    found = canonical.mapped(rows, canon, symbols).where("canon_id > 0").withColumnRenamed("canon_id", "linker").withColumnRenamed("distance", "linker_distance")
+    found = canonical.mapped(rows, canon, symbols, shared).where("canon_id > 0").withColumnRenamed("canon_id", "linker").withColumnRenamed("distance", "linker_distance")
     linkers = canon.where("entity_type = 'OrganicLinker'").select(F.col("canon_id").alias("linker"))
-    return found.join(F.broadcast(linkers), "linker").select("refcode", "metal", "linker", "linker_distance", "temperature", "time", "yield", "solvents")
+    return found.join(linkers, "linker").select("refcode", "metal", "linker", "linker_distance", "temperature", "time", "yield", "solvents")
 
 
-def _neighbours(entries: DataFrame, key: list[str], last: str, tolerance: int, stretch: int) -> DataFrame:
-    """Pairs (gold, row) of ids within ``tolerance`` of each other in the sort order key | last.
+def _neighbours(gold: DataFrame, merged: DataFrame, key: list[str], last: str, tolerance: int, stretch: int) -> DataFrame:
+    """Gold entries (g_ columns) beside the merged rows (m_ columns) within ``tolerance`` of them in the sort order key | last.
 
-    The sort order is cut into stretches of the last part, so a hot key is spread over many windows; a row near a
-    cut is replicated into the stretch beyond it, so no window misses a neighbour.
+    The sort order is cut into stretches of the last part; a merged row is put into each stretch that its window
+    reaches, so no window misses a neighbour, and a pair meets in the one stretch of its gold entry.
     """
-    rows = entries.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*key, last]))
-    at = lambda shift: F.floor((F.col(last) + shift) / stretch)
-    held = F.when(F.col("gold_id").isNotNull(), F.array(at(0))).otherwise(F.sequence(at(-tolerance), at(tolerance)))
-    near = Window.partitionBy(*key, "stretch").orderBy(last).rangeBetween(-tolerance, tolerance)
-    listed = rows.withColumn("stretch", F.explode(held)).withColumn("near", F.collect_list("row_id").over(near))
-    return listed.where("gold_id IS NOT NULL").select("gold_id", F.explode(F.array_distinct("near")).alias("row_id"))
+    stated = lambda side: " AND ".join(f"`{side}_{c}` IS NOT NULL" for c in [*key, last])
+    at = lambda c, shift: F.floor((F.col(c) + shift) / stretch)
+    g = gold.where(stated("g")).withColumn("stretch", at(f"g_{last}", 0))
+    m = merged.where(stated("m")).withColumn("stretch", F.explode(F.sequence(at(f"m_{last}", -tolerance), at(f"m_{last}", tolerance))))
+    for c in key:
+        g, m = g.withColumn(f"k_{c}", F.col(f"g_{c}")), m.withColumn(f"k_{c}", F.col(f"m_{c}"))
+    keys = [*(f"k_{c}" for c in key), "stretch"]
+    return g.join(m, keys).where(F.abs(F.col(f"g_{last}") - F.col(f"m_{last}")) <= tolerance).drop(*keys)
 
 
-def candidates(gold: DataFrame, merged: DataFrame) -> DataFrame:
-    """Distinct (gold_id, row_id) by sorted neighbourhood; ``gold``/``merged`` carry gold_id and row_id."""
-    keep = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit(None).cast("bigint")))
-    g = gold.select("gold_id", "metal", "linker", F.explode(keep("temperatures")).alias("temperature"), "times", "yields")
-    g = g.select("gold_id", "metal", "linker", "temperature", F.explode(keep("times")).alias("time"), "yields")
-    g = g.select("gold_id", F.lit(None).cast("string").alias("row_id"), "metal", "linker", "temperature", "time", F.explode(keep("yields")).alias("yield"))
-    m = merged.select(F.lit(None).cast("bigint").alias("gold_id"), "row_id", "metal", "linker", "temperature", "time", "yield")
-    both = g.unionByName(m)
-    found = _neighbours(both, ["metal", "linker", "time"], "yield", 0, 1)
-    found = found.unionByName(_neighbours(both, ["metal", "linker", "yield"], "temperature", TEMPERATURE_TOLERANCE, STRETCH))
-    found = found.unionByName(_neighbours(both, ["metal", "linker", "time"], "temperature", TEMPERATURE_TOLERANCE, STRETCH))
-    return found.distinct()
-
-
-def compared(gold: DataFrame, merged: DataFrame) -> DataFrame:
-    """(passage_id, refcode, n_agree, n_disagree, confidence) of every candidate pair of entries."""
-    pairs = candidates(gold, merged)
-    g = gold.select("gold_id", "passage_id", "temperatures", "times", "yields", F.col("solvents").alias("g_solvents"), F.col("linker_distance").alias("g_distance"))
-    m = merged.select("row_id", "refcode", "temperature", "time", "yield", F.col("solvents").alias("m_solvents"), F.col("linker_distance").alias("m_distance"))
-    j = pairs.join(g, "gold_id").join(m, "row_id")
+def _judged(pairs: DataFrame) -> DataFrame:
+    """(passage_id, refcode, n_agree, n_disagree, confidence) of neighbours, by weighted field similarities."""
 
     def verdict(values: str, value: str, tolerance: int):
         both = (F.size(values) > 0) & F.col(value).isNotNull()
         return F.when(both, F.exists(values, lambda v: F.abs(v - F.col(value)) <= tolerance))
 
-    j = j.withColumns({"same_temperature": verdict("temperatures", "temperature", TEMPERATURE_TOLERANCE), "same_time": verdict("times", "time", 0), "same_yield": verdict("yields", "yield", 0)})
-    same = [F.col(f"same_{f}") for f in ("temperature", "time", "yield")]
+    same = [verdict("temperatures", "m_temperature", TEMPERATURE_TOLERANCE), verdict("times", "m_time", 0), verdict("yields", "m_yield", 0)]
+    j = pairs.withColumns(dict(zip(("same_0", "same_1", "same_2"), same, strict=True)))
+    same = [F.col(f"same_{i}") for i in range(3)]
     count = lambda value: sum((F.when(c == value, 1).otherwise(0) for c in same[1:]), F.when(same[0] == value, 1).otherwise(0))
     union = F.size(F.array_union("g_solvents", "m_solvents"))
     solvents = F.when((F.size("g_solvents") > 0) & (F.size("m_solvents") > 0), F.size(F.array_intersect("g_solvents", "m_solvents")) / union)
@@ -167,12 +160,32 @@ def compared(gold: DataFrame, merged: DataFrame) -> DataFrame:
     return j.select("passage_id", "refcode", count(True).alias("n_agree"), count(False).alias("n_disagree"), F.round(confidence, 4).alias("confidence"))
 
 
+def compared(gold: DataFrame, merged: DataFrame) -> DataFrame:
+    """(passage_id, refcode, n_agree, n_disagree, confidence) of every neighbour of every gold entry.
+
+    A pair may come from more than one key (and value of a gold entry), always with the same judgement.
+    """
+    values = ("temperature", "time", "yield")
+    keep = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit(None).cast("bigint")))
+    g = gold.select(
+        "passage_id", F.col("metal").alias("g_metal"), F.col("linker").alias("g_linker"), "temperatures", "times", "yields", F.col("solvents").alias("g_solvents"), F.col("linker_distance").alias("g_distance")
+    )
+    m = merged.select("refcode", *[F.col(c).alias(f"m_{c}") for c in ("metal", "linker", *values, "solvents")], F.col("linker_distance").alias("m_distance"))
+    found = None
+    for key, last, tolerance, stretch in KEYS:
+        stated = g
+        for v in [c for c in [*key, last] if c in values]:
+            stated = stated.withColumn(f"g_{v}", F.explode(keep(f"{v}s")))
+        pairs = _judged(_neighbours(stated, m, key, last, tolerance, stretch))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def matches(gold: DataFrame, merged: DataFrame, canon: DataFrame, symbols: DataFrame) -> DataFrame:
     """(passage_id, refcode, confidence): pairs of which at least two quantities agree and none disagrees."""
-    g = stage_table(gold_entries(gold, canon, symbols).withColumn("gold_id", F.col("line_no")), "gold-entries")
-    m = merged_entries(merged, canon, symbols)
-    m = m.withColumn("row_id", F.sha2(F.to_json(F.struct(*sorted(m.columns)), {"ignoreNullFields": "false"}), 256))
-    m = stage_table(m, "merged-entries")
+    shared = canonical.dictionary(canon, symbols)
+    g = stage_table(gold_entries(gold, canon, symbols, shared), "gold-entries")
+    m = stage_table(merged_entries(merged, canon, symbols, shared), "merged-entries")
     good = compared(g, m).where("n_agree >= 2 AND n_disagree = 0")
     return good.groupBy("passage_id", "refcode").agg(F.max("confidence").alias("confidence"))
 
