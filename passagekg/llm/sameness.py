@@ -5,10 +5,11 @@ forms, letters of other scripts, spaces, invisible characters), then values are
 accent-sensitive, case-sensitive ``UNICODE`` collation, under which composed and decomposed accents are equal.
 Each class gets one canonical member (the least value in code point order) and it is joined back.
 
-Long values do not travel through the grouping unless they can matter: a class needs two different values, so a
-first pass groups 8-byte hashes of a still coarser spelling (ASCII characters of the mapped value only), which
-combines map-side and is not hurt by a hot value; only values of coarse classes with two different hashes are
-grouped under the collation.
+Long values travel only if they can matter. A class needs two different values, so a first pass reduces every value
+to two 8-byte hashes, of the value and of a still coarser spelling (ASCII characters of the mapped value only), and finds
+the coarse classes with two different values; that table is written once and only its hashes are shuffled. Only values
+of those classes are fetched and grouped under the collation, and classes are then known by a 16-byte hash, so neither the join of
+members nor a hot class carries texts.
 
 Defined results: null and blank values belong to no class; a value alone in its class is its own canonical member;
 copies of one value form no pair; texts of any length are compared whole; repeated rows count once.
@@ -16,7 +17,7 @@ copies of one value form no pair; texts of any length are compared whole; repeat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagekg.functions.lookalike import folded
@@ -26,59 +27,73 @@ COLLATION = "UNICODE"
 _NON_BLANK = r"(?U)[^\s\x1c-\x1f\x85]"
 
 
+def _hashed(values: DataFrame, within: list[str]) -> DataFrame:
+    """(*within, key, coarse, h) of the values that are not blank."""
+    rows = values.where(F.col("value").rlike(_NON_BLANK)).withColumn("plain", folded(F.col("value")))
+    return rows.select(*within, "key", _coarse(), F.xxhash64("value").alias("h"))
+
+
+def _coarse() -> Column:
+    return F.xxhash64(F.regexp_replace("plain", r"[^\x21-\x7E]", "")).alias("coarse")
+
+
 def candidates(values: DataFrame, within: list[str] = []) -> DataFrame:  # noqa: B006
     """Of ``values`` (key, value, *within) those whose coarse class (inside ``within``) has two different values.
 
-    Adds ``plain``, the mapped value.
+    Adds ``coarse`` and ``h``, which together tell values apart (16 bytes), and ``plain``, the mapped value. A key may
+    state several values.
     """
-    rows = values.where(F.col("value").rlike(_NON_BLANK))
-    rows = rows.withColumn("plain", folded(F.col("value")))
-    rows = rows.withColumn("coarse", F.xxhash64(F.regexp_replace("plain", r"[^\x21-\x7E]", ""))).withColumn("h", F.xxhash64("value"))
+    hashes = stage_table(_hashed(values, within), "same-hashes")
     by = [*within, "coarse"]
-    classes = rows.groupBy(*by).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(*by)
-    return rows.join(classes, by, "left_semi").drop("coarse", "h")
+    mixed = hashes.groupBy(*by).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(*by)
+    wanted = hashes.join(mixed, by, "left_semi").select("key", "h").distinct()
+    found = values.where(F.col("value").rlike(_NON_BLANK)).withColumn("h", F.xxhash64("value")).join(wanted, ["key", "h"], "left_semi")
+    return found.withColumn("plain", folded(F.col("value"))).withColumn("coarse", _coarse())
 
 
 def classes(cands: DataFrame, within: list[str] = []) -> DataFrame:  # noqa: B006
-    """One row per distinct value: (*within, value, canonical, n_values), grouped in SQL under the collation.
+    """One row per distinct value: (*within, coarse, h, class, canonical, n_values), grouped in SQL under the collation.
 
     The class is aggregated to its least value (combining map-side) and joined back to its members, so no class is
-    ever held as a list, however many of the values it has.
+    ever held as a list, however many of the values it has. ``class`` is a hash of ``within`` and the least value.
     """
     on = "".join(f"v.{c} = g.{c} AND " for c in within)
     scope = "".join(f"{c}, " for c in within)
-    cands.select(*within, "value", "plain").distinct().createOrReplaceTempView("_same_values")
-    return cands.sparkSession.sql(f"""
+    members = cands.groupBy(*within, "coarse", "h").agg(F.min("value").alias("value"), F.min("plain").alias("plain"))
+    query = f"""
         WITH grouped AS (
             SELECT {scope} min(plain) AS plain, min(value) AS canonical, count(*) AS n_values
-            FROM _same_values
+            FROM {{members}}
             GROUP BY {scope} plain COLLATE {COLLATION}
             HAVING count(*) > 1)
-        SELECT {"".join(f"v.{c}, " for c in within)} g.canonical, g.n_values, v.value
-        FROM _same_values v JOIN grouped g ON {on} v.plain COLLATE {COLLATION} = g.plain COLLATE {COLLATION}
-    """)
+        SELECT {"".join(f"v.{c}, " for c in within)} v.coarse, v.h, v.value, g.canonical, g.n_values
+        FROM {{members}} v JOIN grouped g ON {on} v.plain COLLATE {COLLATION} = g.plain COLLATE {COLLATION}
+    """
+    return cands.sparkSession.sql(query, members=members).withColumn("class", F.unhex(F.substring(F.sha2(F.concat_ws("\n", *within, "canonical"), 256), 1, 32)))
 
 
 def canonical(values: DataFrame) -> DataFrame:
     """``values`` (key, value) with ``canonical``, the class's member in which all equal-looking values agree."""
     values = values.drop("canonical", "n_values")  # result columns replace columns of their names
-    found = classes(candidates(values.select("key", "value")))
-    return values.join(found.select("value", "canonical"), "value", "left").select(*values.columns, F.coalesce("canonical", "value").alias("canonical"))
+    found = stage_table(classes(candidates(values.select("key", "value"))).where("value <> canonical").select("h", F.col("value").alias("same"), "canonical"), "same-forms")
+    hashed = values.withColumn("h", F.xxhash64("value"))
+    # members are found by hash and confirmed by the value itself
+    joined = hashed.join(found, (hashed["h"] == found["h"]) & (hashed["value"] == found["same"]), "left")
+    return joined.select(*[hashed[c] for c in values.columns], F.coalesce("canonical", "value").alias("canonical"))
 
 
 def pairs(values: DataFrame, within: list[str] = []) -> DataFrame:  # noqa: B006
     """(key_a, key_b): keys whose values look the same but differ in characters; smaller key first.
 
-    The members of a class are joined per distinct value, so copies of one value are never paired with
-    each other; the output itself is what the statement asks for.
+    The statement asks for the pairs, so the members of a class are joined with each other, by hashes alone; copies of one
+    value are never paired with each other.
     """
     cands = stage_table(candidates(values, within), "same")
-    found = classes(cands, within).select(*within, "canonical", "value")
-    keyed = cands.select("key", *within, "value").distinct().join(found, [*within, "value"])
-    a = keyed.select(*within, "canonical", F.col("key").alias("key_a"), F.col("value").alias("value_a"))
-    b = keyed.select(*within, "canonical", F.col("key").alias("key_b"), F.col("value").alias("value_b"))
-    joined = a.join(b, [*within, "canonical"])
-    return joined.where((F.col("key_a") < F.col("key_b")) & (F.col("value_a") != F.col("value_b"))).select("key_a", "key_b").distinct()
+    found = classes(cands, within).select(*within, "coarse", "h", "class")
+    keyed = stage_table(cands.select("key", *within, "coarse", "h").distinct().join(found, [*within, "coarse", "h"]).select("key", "h", "class"), "same-members")
+    a = keyed.select("class", F.col("key").alias("key_a"), F.col("h").alias("h_a"))
+    b = keyed.select("class", F.col("key").alias("key_b"), F.col("h").alias("h_b"))
+    return a.join(b, "class").where((F.col("key_a") < F.col("key_b")) & (F.col("h_a") != F.col("h_b"))).select("key_a", "key_b").distinct()
 
 
 def passage_values(passages: DataFrame) -> DataFrame:
@@ -97,7 +112,7 @@ def canonical_forms(passages: DataFrame, results: DataFrame) -> DataFrame:
     """
     text = canonical(passage_values(passages)).select(F.lit("text").alias("field"), "key", "value", "canonical")
     names = endpoint_names(results)
-    distinct = stage_table(names.select("value").distinct().withColumn("key", F.col("value")), "names")
+    distinct = stage_table(names.select("value").distinct().withColumn("key", F.xxhash64("value")), "names")
     forms = canonical(distinct).where("value <> canonical").select("value", "canonical")
     name = names.join(forms, "value", "left").select(F.lit("name").alias("field"), "key", "value", F.coalesce("canonical", "value").alias("canonical"))
     return text.unionByName(name)

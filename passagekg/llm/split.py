@@ -5,11 +5,14 @@ Texts are processed in ranges of ``RANGE`` code points with halos, never as a wh
 1. each range reports its *fragments*: newline-free runs that touch a range edge or are oversized by themselves;
 2. the fragment table is stitched (a running sum of paragraph starts per text, over at most two rows a range), which
    gives every oversized paragraph with its trimmed offsets;
-3. each (range, oversized paragraph) pair emits its pieces by offset. Where a paragraph crosses into a range, the
-   cut nearest the range start is fixed by the range's own text, so neighbouring ranges agree without talking.
-
-A section of a table and a file on shared storage differ only in how a range is read (``section_ranges``: a slice
-of the column; ``file_ranges``: a seek into the file, code point offsets by prefix sums over the ranges' counts).
+3. each (range, oversized paragraph) pair emits its pieces, offsets and text, from the range's own chunk. Where a paragraph
+   crosses into a range, the cut nearest the range start is fixed by the range's own text, so neighbouring ranges
+   agree without talking. A piece belongs to the range that holds its end's predecessor cut; pieces are numbered by a prefix sum of
+   the ranges' counts, so no text is ever joined back and no paragraph is numbered in one sort.
+
+``stored_sections`` lays texts out as a few large files on the shared folder with a table of their byte offsets, and
+``file_ranges`` reads byte ranges of such files by seeking: a file, or a section in it, may be larger than any
+task's memory. ``section_ranges`` is the same for texts that are small enough to be cells of a table.
 
 Defined results: null and empty texts and paragraphs within the limit give nothing; a paragraph without any natural
 boundary is cut at the limit; repeated texts of one key give their pieces once; papers without id give no pieces; offsets count
