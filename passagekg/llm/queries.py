@@ -33,6 +33,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.section_pieces(table(spark, sf_dir, "papers"))
 
 
+def p3_stored_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.stored_pieces(table(spark, sf_dir, "papers"))
+
+
+def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.coverage(p3_stored_pieces(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.flagged(table(spark, sf_dir, "documents"))
 
@@ -74,6 +82,8 @@ QUERIES = {
     "p2_misses": p2_misses,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_stored_pieces": p3_stored_pieces,
+    "p3_coverage": p3_coverage,
     "p4_found": p4_found,
     "p4_matches": p4_matches,
     "p6_found": p6_found,
@@ -105,6 +115,12 @@ def _same_look(x: str) -> str:
     return f"nfc_normalize(translate({x}, {quote(source)}, {quote(target)}))"
 
 
+_PARAGRAPHS = f"""secs AS (SELECT paper_id, i AS section_ix, sections[i + 1].text AS text FROM (SELECT paper_id, sections, unnest(range(CAST(len(sections) AS BIGINT))) AS i FROM papers)),
+runs AS (SELECT paper_id, section_ix, string_split(text, chr(10)) AS parts FROM secs WHERE text IS NOT NULL),
+placed AS (SELECT paper_id, section_ix, parts[k] AS run, list_sum(list_transform(parts[:k - 1], lambda x: length(x) + 1)) AS before FROM (SELECT *, unnest(range(1, CAST(len(parts) AS BIGINT) + 1)) AS k FROM runs)),
+trimmed AS (SELECT *, length(run) - length(regexp_replace(run, '^[{_SPACE}]+', '')) AS lead, regexp_replace(regexp_replace(run, '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '') AS body FROM placed),
+paragraphs AS (SELECT paper_id, CAST(section_ix AS INTEGER) AS section_ix, CAST(coalesce(before, 0) + lead AS INTEGER) AS para_start, body FROM trimmed WHERE length(body) > 2500)"""
+
 ORACLES: dict[str, str] = {
     "p6_found": f"""
 WITH texts AS (SELECT DISTINCT passage_id AS k, text AS v FROM passages WHERE regexp_matches(text, '[^{_SPACE}]')),
@@ -118,10 +134,11 @@ SELECT DISTINCT 'text' AS field, a.k AS key_a, b.k AS key_b FROM looks a JOIN lo
 UNION ALL SELECT DISTINCT 'name', a.k, b.k FROM name_looks a JOIN name_looks b ON a.line_no = b.line_no AND a.look = b.look AND a.v <> b.v AND a.k < b.k
 """,
     "p3_found": f"""
-WITH secs AS (SELECT paper_id, i AS section_ix, sections[i + 1].text AS text FROM (SELECT paper_id, sections, unnest(range(CAST(len(sections) AS BIGINT))) AS i FROM papers)),
-runs AS (SELECT paper_id, section_ix, string_split(text, chr(10)) AS parts FROM secs WHERE text IS NOT NULL),
-placed AS (SELECT paper_id, section_ix, parts[k] AS run, list_sum(list_transform(parts[:k - 1], lambda x: length(x) + 1)) AS before FROM (SELECT *, unnest(range(1, CAST(len(parts) AS BIGINT) + 1)) AS k FROM runs)),
-trimmed AS (SELECT *, length(run) - length(regexp_replace(run, '^[{_SPACE}]+', '')) AS lead, length(regexp_replace(regexp_replace(run, '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '')) AS size FROM placed)
-SELECT DISTINCT paper_id, CAST(section_ix AS INTEGER) AS section_ix, CAST(coalesce(before, 0) + lead AS INTEGER) AS para_start FROM trimmed WHERE size > 2500
+WITH {_PARAGRAPHS}
+SELECT DISTINCT paper_id, section_ix, para_start FROM paragraphs
+""",
+    "p3_coverage": f"""
+WITH {_PARAGRAPHS}
+SELECT DISTINCT paper_id, section_ix, para_start, CAST(para_start + length(body) AS INTEGER) AS para_end, true AS fits, true AS overlaps, md5(body) AS paragraph FROM paragraphs
 """,
 }
