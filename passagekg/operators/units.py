@@ -40,6 +40,7 @@ UNITS: dict[str, tuple[str, float, float, tuple[str, ...]]] = {
     "Pa": ("pressure", 1.0, 0.0, ("Pa", "pascal", "pascals")),
     "hPa": ("pressure", 100.0, 0.0, ("hPa", "hectopascal", "mbar", "millibar", "millibars")),
     "kPa": ("pressure", 1000.0, 0.0, ("kPa", "kilopascal", "kilopascals")),
+    "mPa": ("pressure", 1e-3, 0.0, ("mPa", "millipascal", "millipascals")),
     "MPa": ("pressure", 1e6, 0.0, ("MPa", "megapascal", "megapascals")),
     "GPa": ("pressure", 1e9, 0.0, ("GPa", "gigapascal", "gigapascals")),
     "bar": ("pressure", 1e5, 0.0, ("bar", "bars")),
@@ -65,6 +66,8 @@ WORDS |= {f"{t}-{o}": 20 + 10 * i + j for i, t in enumerate(_TENS) for j, o in e
 RELATIONS = ("AT_CONDITION", "MEASURED_AT", "HAS_PROPERTY")
 #: Longest weighted edit distance accepted, per character of the known spelling.
 FUZZ = 0.17
+#: Words that a leading part of a spelling may have: those of the longest known spelling, and one more for a word written apart.
+MOST_WORDS = 1 + max(len(x.split()) for *_, names in UNITS.values() for x in names)
 
 _WORD = re.compile(r"\b(" + "|".join(sorted(WORDS, key=len, reverse=True)) + r")\b(?=[ -]*[a-z])", re.I)
 _N = r"[+-]?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:[.,]\d+|\.(?= ?[^\W\d]))?|\.\d+)(?:[eE][+-]?\d+(?![\d.])| ?[×x*·] ?10 ?\^ ?[+-]?\d+)?"
@@ -187,14 +190,16 @@ def unit_table(spark: SparkSession) -> DataFrame:
 def unit_aliases(measures: DataFrame) -> DataFrame:
     """Alias dictionary (unit, base_unit, quantity, scale, shift, distance): one row per distinct known spelling.
 
-    Every leading part of a spelling is a candidate (``h under N2`` -> ``h``), longest first. Case decides only
-    between spellings that differ in nothing else; words of letters may differ by ``FUZZ`` per character.
+    Every leading part of a spelling is a candidate (``h under N2`` -> ``h``), longest first; a part of more words than any
+    known spelling has cannot be one. Case decides between spellings that differ in nothing else (``mPa``, ``MPa``); words of
+    letters may differ by ``FUZZ`` per character, which is less than the cheapest edit below five letters: shorter
+    spellings (``h``, ``bar``) are a letter away from other units and are only taken as they are.
     """
     spark = measures.sparkSession
     known = F.broadcast(unit_table(spark))  # fixed size
     spellings = measures.groupBy("unit").agg(F.count("*").alias("n"))
     words = F.split("unit", " ")
-    parts = spellings.select("unit", F.posexplode(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(5))), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("cut", "part"))
+    parts = spellings.select("unit", F.posexplode(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(MOST_WORDS))), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("cut", "part"))
     exact = parts.join(known, F.lower("part") == F.lower("spelling")).select(
         "unit", "cut", "spelling", "base_unit", "quantity", "scale", "shift", F.when(F.col("part") == F.col("spelling"), 0.0).otherwise(0.01).alias("distance")
     )

@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from passagekg.operators import units
 
@@ -61,3 +64,25 @@ def test_parser_never_raises(text):
 @pytest.mark.parametrize(("a", "b", "most"), [("hours", "huors", 0.5), ("celsius", "celcius", 1.0), ("minutes", "minuttes", 0.5), ("h", "h", 0.0)])
 def test_distance(a, b, most):
     assert units.weighted_distance(a, b) <= most
+
+
+def test_case_tells_prefixes_apart(spark):
+    names = spark.createDataFrame([("5 mPa",), ("5 MPa",), ("5 mpa",), ("5 kpa",)], "name string").withColumn("k", F.col("name"))
+    got = {r.k: r.value_base for r in units.to_base(units.measurements(names)).collect()}
+    assert got == {"5 mPa": 0, "5 MPa": 5_000_000, "5 mpa": 5_000_000, "5 kpa": 5000}
+
+
+def test_index_finds_what_comparing_with_every_spelling_finds(spark):
+    import random
+
+    rng = random.Random(6)
+    known = [units.spelled(s) for _, _, _, names in units.UNITS.values() for s in names]
+    words = [w for w in known if re.fullmatch("[A-Za-z ]{5,}", w)]
+    typed = set()
+    for w in words * 6:
+        i = rng.randrange(1, len(w))
+        typed.add(rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :], w[:i] + rng.choice("aeiost") + w[i + 1 :]]))
+    typed = sorted(t for t in typed if re.fullmatch("[A-Za-z ]{5,}", t) and t.strip() == t)
+    brute = {t for t in typed if any(units.weighted_distance(t.lower(), w.lower()) <= units.FUZZ * len(w) for w in words)}
+    found = {r.unit for r in units.unit_aliases(spark.createDataFrame([(t,) for t in typed], "unit string")).where("distance > 0.01").collect()}
+    assert len(brute - found) <= 0.01 * len(brute)
