@@ -119,9 +119,15 @@ def worklist_exact(passages: DataFrame, n: int = TARGET_MAX, control: float = CO
 
 
 def upsert(gold: DataFrame, changes: DataFrame) -> DataFrame:
-    """U8: ``gold`` with ``changes`` replaced or appended by passage_id; columns only one side has are kept."""
+    """U8: ``gold`` with ``changes`` replaced or appended by passage_id; columns only one side has are kept.
+
+    Of several changes of a passage the last one counts: the latest ``annotated_at``, then the greatest ``line_no``, then the
+    greatest row as JSON, as far as the columns exist (so the result is the same in every run).
+    """
     kept = gold.join(changes.select("passage_id").distinct(), "passage_id", "left_anti")
-    last = changes.dropDuplicates(["passage_id"])
+    row = F.struct(*[F.col(c) for c in changes.columns])
+    order = F.struct(*[F.col(c) for c in ("annotated_at", "line_no") if c in changes.columns], F.to_json(row))
+    last = changes.groupBy(F.col("passage_id").alias("_p")).agg(F.max_by(row, order).alias("_r")).select("_r.*")
     return kept.unionByName(last, allowMissingColumns=True)
 
 

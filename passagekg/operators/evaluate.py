@@ -34,9 +34,14 @@ def keyed(triples: DataFrame) -> DataFrame:
 
 
 def _last(df: DataFrame, keys: list[str], stamp: str) -> DataFrame:
-    """The last row per key by (stamp, line_no). An aggregation: copies of a hot key are reduced before the shuffle."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(row, F.struct(stamp, "line_no")).alias("_r")).select("_r.*")
+    """The last row per key by (stamp, line_no), whatever columns the caller goes on to read.
+
+    Which rows are last is found over keys, stamp and line_no alone, by an aggregation that reduces copies of a hot key before
+    the shuffle; the rows are then kept by their unique line_no, so a scan reads only the columns and nested fields used later.
+    """
+    held = [F.col(k).alias(f"_{k}") for k in keys]
+    last = df.groupBy(*held).agg(F.max(F.struct(F.col(stamp), F.col("line_no"))).alias("_l")).select(F.col("_l.line_no").alias("line_no"))
+    return df.join(last, "line_no", "left_semi")
 
 
 def latest_runs(results: DataFrame) -> DataFrame:
@@ -126,7 +131,7 @@ def _prepared(triples: DataFrame, side: str) -> DataFrame:
         k = k.withColumn(f"{c}_tokens", tx.tokens(F.col(f"{c}_key"))).withColumn(f"{c}_numbers", tx.numbers(F.col(f"{c}_key")))
     gk = F.sha2(F.to_json(F.struct(*GROUP), {"ignoreNullFields": "false"}), 256)
     cols = ["subject_type", "object_type", "s_key", "o_key", "s_tokens", "o_tokens", "s_numbers", "o_numbers"]
-    return k.select(gk.alias("gk"), "relation", F.concat_ws(":", F.lpad(F.col("line_no").cast("string"), 12, "0"), F.lpad(F.col("triple_ix").cast("string"), 4, "0")).alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in cols], *(["extractor"] if side == "p" else []))
+    return k.select(gk.alias("gk"), "relation", _id().alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in cols], *(["extractor"] if side == "p" else []))
 
 
 def candidates(predicted: DataFrame, gold: DataFrame, mode: str = "relaxed", threshold: float = THRESHOLD, agnostic: tuple[str, ...] = SUBJECT_AGNOSTIC) -> DataFrame:
@@ -166,7 +171,8 @@ def counts_relaxed(predicted: DataFrame, gold: DataFrame, threshold: float = THR
 
 
 def _id() -> Column:
-    return F.concat_ws(":", F.lpad(F.col("line_no").cast("string"), 12, "0"), F.lpad(F.col("triple_ix").cast("string"), 4, "0"))
+    """Order of a triple as text; 19 digits hold every line_no."""
+    return F.format_string("%019d:%010d", "line_no", "triple_ix")
 
 
 def false_positives(predicted: DataFrame, matches: DataFrame, relations: tuple[str, ...] = SCORED) -> DataFrame:

@@ -95,7 +95,7 @@ def read_annotation_passages(spark: SparkSession, path: str) -> DataFrame:
     j = lines.withColumn("j", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).where("j IS NOT NULL AND j._bad IS NULL")
     first = {out: F.coalesce(*[F.when(F.col(f"j.{k}").rlike(r"(?U)\S"), F.col(f"j.{k}")) for k in ks], F.lit("")) for out, ks in ALIASES.items()}
     rows = j.select("line_no", *[c.alias(n) for n, c in first.items()], "j.doi", "j.source", F.coalesce("j.is_synthesis", F.lit(True)).alias("is_synthesis"), "j.synthesis_score", "j.char_start", "j.char_end")
-    made = F.concat_ws(":", "paper_id", F.lpad(F.col("line_no").cast("string"), 5, "0"))
+    made = F.concat_ws(":", "paper_id", F.format_string("%05d", "line_no"))
     return rows.where("text <> ''").withColumn("passage_id", F.when(F.col("passage_id") != "", F.col("passage_id")).otherwise(made))
 
 
@@ -177,7 +177,10 @@ class _SearchReader(DataSourceReader):
 
 
 def fetched(hits: DataFrame, cache: DataFrame, fetch: Callable[[str], bytes | None]) -> tuple[DataFrame, DataFrame]:
-    """SRC2: (pmcid, xml) of all hits and the new cache rows; an entry in the cache wins, an empty one means none."""
+    """SRC2: (pmcid, xml) of all hits and the new cache rows; an entry in the cache wins.
+
+    Only bodies are cached: a failed or empty answer says nothing about the paper and is asked for again next time.
+    """
     import pandas as pd
 
     from passagekg.runtime import stage_table
@@ -187,8 +190,8 @@ def fetched(hits: DataFrame, cache: DataFrame, fetch: Callable[[str], bytes | No
 
     def get(batches):
         for b in batches:
-            got = [fetch(p) or b"" for p in b["pmcid"]]
-            yield pd.DataFrame({"pmcid": b["pmcid"], "xml": got})
+            got = [(p, body) for p in b["pmcid"] if (body := fetch(p))]
+            yield pd.DataFrame(got, columns=["pmcid", "xml"])
 
     new = stage_table(missing.mapInPandas(get, "pmcid string, xml binary"), "fetched")
     both = known.unionByName(new)

@@ -48,12 +48,23 @@ REPLIES = {
 
 
 def test_replies(spark):
-    got = {k: tuple(map(len, model_extract.read_reply(k, ENDS))) for k in REPLIES}
-    assert {k: (got[k], w) for k, w in REPLIES.items() if got[k] != w} == {}
-    t = model_extract.read_reply(json.dumps([GOOD]), ENDS)[0][0]
-    assert t["subject"] == {"type": "MOF", "name": "ZIF-8", "span": [0, 5]} and t["relation"] == "USES_LINKER" and t["confidence"] == "high"
-    df = spark.createDataFrame([(i, r) for i, r in enumerate([*REPLIES, None])], "line_no bigint, reply string")
-    assert model_extract.parsed_replies(df, ENDS).where("size(triples) > 0").count() == 8
+    texts = [*REPLIES, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "line_no bigint, reply string")
+    got = {texts[r.line_no]: (r.triples, r.errors) for r in model_extract.parsed_replies(df, ENDS).collect()}
+    sizes = {k: (len(t), len(e)) for k, (t, e) in got.items()}
+    assert {k: (sizes[k], w) for k, w in (REPLIES | {None: (0, 1)}).items() if sizes[k] != w} == {}
+    t = got[json.dumps([GOOD])][0][0]
+    assert (t.subject.type, t.subject.name, t.subject.span) == ("MOF", "ZIF-8", [0, 5]) and t.relation == "USES_LINKER" and t.confidence == "high" and t.object.name == "HmIM"
+    mixed = got[next(k for k in REPLIES if "ODD" in k)][1]
+    assert mixed == ["0:endpoints_misfit", "2:not_an_object", "3:relation_unknown", "4:subject_not_an_object"]
+    assert got[json.dumps([{**GOOD, "confidence": 3}])][1] == ["0:confidence_defaulted"] and got["42"][1] == ["not_a_list"] and got[""][1] == ["no_json"]
+
+
+def test_replies_that_were_cut_off_or_hold_brackets_in_strings():
+    cut = '[{"relation": "R"}, {"relation": '
+    assert model_extract.located(cut) == ("no_json", [])
+    assert model_extract.located('said "x" {5] then {"triples": [{"relation": "a ] } b"}]} end') == ("list_under:triples", ['{"relation": "a ] } b"}'])
+    assert model_extract.located("[1] [2") == ("list", ["1"])
 
 
 def test_price_and_key(spark):
