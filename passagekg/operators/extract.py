@@ -11,6 +11,7 @@ raises; repeated passages give repeated rows; texts of any length are read whole
 from __future__ import annotations
 
 import re
+import time
 from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -166,22 +167,29 @@ def mentions(text: str, within: Sentences) -> list[Mention]:
 
 def properties(text: str, within: Sentences) -> list[Mention]:
     """X4: "term value unit" over the span that covers them."""
-    found = []
-    for m in lx.PROPERTY.finditer(text):
-        name = f"{' '.join(m['term'].split())} {m['value']} {' '.join(m['unit'].split())}"
-        found.append(Mention("Property", name, m.start("term"), m.end("unit"), within.at(m.start("term")), "property"))
-    return without_overlaps(found)
+
+    def stated(m: re.Match) -> Mention:
+        name = re.sub(r"\s+", " ", " ".join(m.group("term", "value", "unit"))).strip()
+        start = m.start("term")
+        return Mention("Property", name, start, m.end("unit"), within.at(start), "property")
+
+    return without_overlaps([stated(m) for m in lx.PROPERTY.finditer(text)])
+
+
+_ORGANIC = frozenset(s.lower() for s in lx.ORGANIC_SOLVENTS)
 
 
 def implied_method(found: list[Mention]) -> Mention | None:
-    """Route implied by a solvent and heat where none is named."""
-    kinds = {m.type for m in found}
-    hot = next((m for m in found if m.kind == "temperature" and m.magnitude is not None and m.magnitude >= lx.HOT_C), None)
-    if "SynthesisMethod" in kinds or "Solvent" not in kinds or hot is None:
+    """Where no route is named, a solvent and heat imply one: with an organic solvent solvothermal, else hydrothermal."""
+    by_type: dict[str, list[Mention]] = {}
+    for m in found:
+        by_type.setdefault(m.type, []).append(m)
+    heat = [m for m in found if m.kind == "temperature" and (m.magnitude or lx.HOT_C - 1) >= lx.HOT_C]
+    solvents = {m.name.lower() for m in by_type.get("Solvent", ())}
+    if not heat or not solvents or "SynthesisMethod" in by_type:
         return None
-    organic = {s.lower() for s in lx.ORGANIC_SOLVENTS}
-    route = "solvothermal" if any(m.type == "Solvent" and m.name.lower() in organic for m in found) else "hydrothermal"
-    return Mention("SynthesisMethod", route, hot.start, hot.end, hot.sentence, "inferred", None, True)
+    at = heat[0]
+    return Mention("SynthesisMethod", "solvothermal" if solvents & _ORGANIC else "hydrothermal", at.start, at.end, at.sentence, "inferred", None, True)
 
 
 # -- attachment --
@@ -312,12 +320,14 @@ def extract_passages(passages: DataFrame, name: str = NAME) -> DataFrame:
         for batch in batches:
             rows = []
             for pid, paper, section, text in zip(batch["passage_id"], batch["paper_id"], batch["section_name"], batch["text"], strict=True):
+                began = time.perf_counter()
                 found, errors = extract(text)
+                took = (time.perf_counter() - began) * 1000
                 nested = [
                     {"subject": _entity(t.subject), "relation": t.relation, "object": _entity(t.object), "evidence": t.evidence, "confidence": t.confidence,
                      "source_paper_id": paper, "source_section": section, "extractor": name} for t in found
                 ]
-                rows.append((pid, paper, section, name, nested, len(nested), 0.0, 0.0, errors))
+                rows.append((pid, paper, section, name, nested, len(nested), 0.0, took, errors))
             yield pd.DataFrame(rows, columns=["passage_id", "paper_id", "section_name", "extractor", "triples", "n_triples", "cost_usd", "latency_ms", "errors"])
 
     return passages.select("passage_id", "paper_id", "section_name", "text").mapInPandas(work, RESULT)

@@ -1,6 +1,6 @@
 """Schema checks against the ontology table (P16-P19, J12, SRC13).
 
-The ontology has a handful of rows and a fixed size, so it is broadcast. Where a file is given instead of the
+The ontology has a handful of rows; the planner broadcasts it by its size. Where a file is given instead of the
 table, three readings exist: tolerant (unreadable -> no relations), plain, and strict (cross-checked).
 
 Defined results: a relation the ontology does not know violates nothing but is not valid either; a null type never
@@ -43,7 +43,7 @@ def read_ontology(spark: SparkSession, path: str, mode: str = "plain") -> DataFr
 
 def _with_ends(triples: DataFrame, ontology: DataFrame) -> DataFrame:
     ends = ontology.select(F.col("relation").alias("_r"), F.col("from_type").alias("_from"), F.col("to_type").alias("_to"))
-    return triples.join(F.broadcast(ends), triples["relation"] == F.col("_r"), "left")
+    return triples.join(ends, triples["relation"] == F.col("_r"), "left")
 
 
 def violations(triples: DataFrame, ontology: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ Defined results: a pair (passage_id, extractor) already in the results is not ru
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -46,11 +47,12 @@ class RowExtractor:
             for b in batches:
                 rows = []
                 for pid, paper, section, text in zip(b["passage_id"], b["paper_id"], b["section_name"], b["text"], strict=True):
+                    began = time.perf_counter()
                     try:
                         found, errors = function(text, paper, section)
                     except Exception as e:
                         found, errors = [], [f"CONTRACT VIOLATION {type(e).__name__}: {e}"]
-                    rows.append((pid, paper, section, name, found, len(found), 0.0, 0.0, errors))
+                    rows.append((pid, paper, section, name, found, len(found), 0.0, (time.perf_counter() - began) * 1000, errors))
                 yield pd.DataFrame(rows, columns=["passage_id", "paper_id", "section_name", "extractor", "triples", "n_triples", "cost_usd", "latency_ms", "errors"])
 
         return passages.select("passage_id", "paper_id", "section_name", "text").mapInPandas(work, extract.RESULT)

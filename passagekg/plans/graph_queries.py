@@ -25,9 +25,10 @@ def _counts(spark, sf):
     return evaluate.counts_exact(_pred(spark, sf), _gold(spark, sf))
 
 
-def _graph(spark, sf, staged: bool = False) -> graph.Graph:
+def _graph(spark, sf, staged: bool = False, rows_once: bool = False) -> graph.Graph:
+    """The graph; ``rows_once`` for queries that read several of its tables, ``staged`` for those that read them several times."""
     t = graph.with_ordinal(_pred(spark, sf))
-    g = graph.build(t, table(spark, sf, "papers"), staged)
+    g = graph.build(t, table(spark, sf, "papers"), staged or rows_once)
     if staged:  # several tables of the graph are read by one query: build each once
         return graph.Graph(*(stage_table(x, "graph") for x in (g.nodes, g.edges, g.mentions, g.papers)))
     return g
@@ -112,12 +113,12 @@ def x15_errors(spark, sf):
 
 # -- runs, cost, replies --
 
-_RUNS = ["rule_based_v1", "alpha:ax-large:zero_shot", "beta:bq-9b:zero_shot"]
-
 
 def j1_open(spark, sf):
-    p = table(spark, sf, "passages").select("passage_id")
-    return runner.open_calls(p, _RUNS, table(spark, sf, "results")).groupBy("extractor").agg(F.count("*").alias("n"))
+    """Open calls of every extractor that has run."""
+    results = table(spark, sf, "results")
+    names = [r.extractor for r in results.select("extractor").where("extractor IS NOT NULL").distinct().collect()]  # the extractors of a project
+    return runner.open_calls(table(spark, sf, "passages").select("passage_id"), sorted(names), results).groupBy("extractor").agg(F.count("*").alias("n"))
 
 
 def cumulative(spark, sf):
@@ -205,8 +206,11 @@ def f10_mismatches(spark, sf):
     return evaluate.value_mismatches(_pred(spark, sf), _gold(spark, sf))
 
 
-def _records(spark, sf, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Long records per passage: ours from one extractor's triples (or from all, by extractor), the reference from gold."""
+_EXTRACTOR = ("extractor",)
+
+
+def _records(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Long records per passage: ours from all triples, by extractor, the reference from gold."""
     fields = {"USES_LINKER": "linker", "USES_PRECURSOR": "metal_precursor", "IN_SOLVENT": "solvent", "SYNTHESIZED_BY": "synthesis_method", "AT_CONDITION": "temperature"}
     name = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])
 
@@ -214,36 +218,19 @@ def _records(spark, sf, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]
         rows = t.where("passage_id IS NOT NULL").select(*by, F.col("passage_id").alias("paper_id"), F.try_element_at(name, F.col("relation")).alias("field"), "object_name").where("field IS NOT NULL")
         return rows.groupBy(*by, "paper_id", "field").agg(F.collect_list("object_name").alias("values"))
 
-    if by:
-        return long(_pred(spark, sf).withColumn("extractor", F.coalesce("extractor", F.lit(""))), by), long(_gold(spark, sf))
-    return long(_pred(spark, sf).where("extractor = 'alpha:ax-large:zero_shot'")), long(_gold(spark, sf))
+    return long(_pred(spark, sf).withColumn("extractor", F.coalesce("extractor", F.lit(""))), _EXTRACTOR), long(_gold(spark, sf))
 
 
 def a8_agreement(spark, sf):
-    return agreement.report(agreement.compared(*_records(spark, sf)))
+    return agreement.report(agreement.compared(*_records(spark, sf), by=_EXTRACTOR), _EXTRACTOR)
 
 
 def a8_relaxed(spark, sf):
-    return agreement.report(agreement.compared(*_records(spark, sf), mode="relaxed"))
+    return agreement.report(agreement.compared(*_records(spark, sf), mode="relaxed", by=_EXTRACTOR), _EXTRACTOR)
 
 
 def a8_missing(spark, sf):
-    return agreement.missing_records(*_records(spark, sf))
-
-
-_EXTRACTOR = ("extractor",)
-
-
-def a8_agreement_all(spark, sf):
-    return agreement.report(agreement.compared(*_records(spark, sf, _EXTRACTOR), by=_EXTRACTOR), _EXTRACTOR)
-
-
-def a8_relaxed_all(spark, sf):
-    return agreement.report(agreement.compared(*_records(spark, sf, _EXTRACTOR), mode="relaxed", by=_EXTRACTOR), _EXTRACTOR)
-
-
-def a8_missing_all(spark, sf):
-    return agreement.missing_records(*_records(spark, sf, _EXTRACTOR), _EXTRACTOR)
+    return agreement.missing_records(*_records(spark, sf), _EXTRACTOR)
 
 
 # -- graph --
@@ -270,7 +257,7 @@ def g6_rejections(spark, sf):
 
 
 def g1_violations(spark, sf):
-    return graph.key_violations(_graph(spark, sf))
+    return graph.key_violations(_graph(spark, sf, rows_once=True))
 
 
 def a20_load(spark, sf):
@@ -282,7 +269,7 @@ def k1(spark, sf):
 
 
 def k2(spark, sf):
-    return graph.method_distribution(_graph(spark, sf))
+    return graph.method_distribution(_graph(spark, sf, rows_once=True))
 
 
 def k3(spark, sf):
@@ -299,19 +286,19 @@ def k4(spark, sf):
 
 
 def k5(spark, sf):
-    return graph.provenance_for_claim(_graph(spark, sf), _K4)
+    return graph.provenance_for_claim(_graph(spark, sf, rows_once=True), _K4)
 
 
 def k6(spark, sf):
-    return graph.graph_stats(_graph(spark, sf))
+    return graph.graph_stats(_graph(spark, sf, rows_once=True))
 
 
 def k7(spark, sf):
-    return graph.node_breakdown(_graph(spark, sf))
+    return graph.node_breakdown(_graph(spark, sf, rows_once=True))
 
 
 def k8(spark, sf):
-    return graph.provenance_violations(_graph(spark, sf))
+    return graph.provenance_violations(_graph(spark, sf, rows_once=True))
 
 
 # -- reference tables --
@@ -372,7 +359,7 @@ QUERIES = {
     "ref_w1_cumulative_spend": cumulative, "ref_a6_run_summary": a6_summary, "ref_a7_operations": a7_operations, "ref_l3_cache_keys": l3_keys, "ref_l4_cache_stats": l4_cache,
     "ref_l6_costs": l6_costs, "ref_l7_replies": l7_replies, "ref_a1_scores": a1_counts, "ref_a3_micro": a3_micro, "ref_a4_macro": a4_macro, "ref_a5_skipped": a5_skipped,
     "ref_a5_passages": a5_passages, "ref_f8_candidates": f8_candidates, "ref_f9_relaxed": f9_relaxed, "ref_f10_mismatches": f10_mismatches, "ref_t7_examples": t7_examples, "ref_a8_agreement": a8_agreement,
-    "ref_a8_relaxed": a8_relaxed, "ref_a8_missing": a8_missing, "ref_a8_agreement_all": a8_agreement_all, "ref_a8_relaxed_all": a8_relaxed_all, "ref_a8_missing_all": a8_missing_all, "ref_g1_key_violations": g1_violations, "ref_g2_papers": g2_papers, "ref_g3_nodes": g3_nodes, "ref_g4_edges": g4_edges,
+    "ref_a8_relaxed": a8_relaxed, "ref_a8_missing": a8_missing, "ref_g1_key_violations": g1_violations, "ref_g2_papers": g2_papers, "ref_g3_nodes": g3_nodes, "ref_g4_edges": g4_edges,
     "ref_g5_mentions": g5_mentions, "ref_g6_rejections": g6_rejections, "ref_a20_load_stats": a20_load, "ref_k1_solvent_temperature": k1, "ref_k2_methods": k2, "ref_k3_pairs": k3,
     "ref_k4_full_record": k4, "ref_k5_provenance": k5, "ref_k6_stats": k6, "ref_k7_breakdown": k7, "ref_k8_violations": k8, "ref_j2_join": j2_join, "ref_j2_report": j2_report,
     "ref_a10_coverage": a10_coverage, "ref_a11_solvents": a11_solvents, "ref_a11_metals": a11_metals, "ref_a12_conditions": a12_conditions, "ref_a13_metals": a13_metals,
@@ -444,9 +431,9 @@ def _listed(alias: str, source: str) -> str:
 
 _REC = f"""WITH map_(relation, field) AS (VALUES ('USES_LINKER', 'linker'), ('USES_PRECURSOR', 'metal_precursor'), ('IN_SOLVENT', 'solvent'), ('SYNTHESIZED_BY', 'synthesis_method'), ('AT_CONDITION', 'temperature')),
     kinds(field, kind) AS (VALUES ('linker', 'OrganicLinker'), ('metal_precursor', 'MetalPrecursor'), ('solvent', 'Solvent'), ('synthesis_method', 'SynthesisMethod'), ('temperature', 'Condition')),
-    ours AS (SELECT passage_id AS paper_id, field, object_name AS v FROM {_P} JOIN map_ USING (relation) WHERE passage_id IS NOT NULL AND extractor = 'alpha:ax-large:zero_shot'),
+    ours AS (SELECT passage_id AS paper_id, field, object_name AS v FROM {_P} JOIN map_ USING (relation) WHERE passage_id IS NOT NULL),
     refs AS (SELECT passage_id AS paper_id, field, object_name AS v FROM {_G} JOIN map_ USING (relation) WHERE passage_id IS NOT NULL)"""
-_REC_ALL = _REC.replace("SELECT passage_id AS paper_id, field, object_name AS v FROM " + _P, "SELECT passage_id AS paper_id, coalesce(extractor, '') AS extractor, field, object_name AS v FROM " + _P).replace(" AND extractor = 'alpha:ax-large:zero_shot'", "")
+_REC_ALL = _REC.replace("SELECT passage_id AS paper_id, field, object_name AS v FROM " + _P, "SELECT passage_id AS paper_id, coalesce(extractor, '') AS extractor, field, object_name AS v FROM " + _P)
 _NULLS = "(" + ", ".join(sqltext.lit(s) for s in ("", "na", "n/a", "none", "null", "nan", "-", "--", "unknown", "not reported")) + ")"
 
 
@@ -470,7 +457,7 @@ ORACLES = {
     "ref_set_operations": f"""WITH p AS (SELECT DISTINCT passage_id, relation FROM {_P} WHERE passage_id IS NOT NULL AND relation IS NOT NULL), g AS (SELECT DISTINCT passage_id, relation FROM {_G} WHERE passage_id IS NOT NULL AND relation IS NOT NULL)
         SELECT 'union' AS part, count(*) AS n FROM (SELECT * FROM p UNION SELECT * FROM g) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM g)
         UNION ALL SELECT 'only_predicted', count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM g) UNION ALL SELECT 'only_gold', count(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM p)""",
-    "ref_j1_open_calls": f"SELECT e AS extractor, count(*) AS n FROM passages p, (VALUES {', '.join(f'({sqltext.lit(x)})' for x in _RUNS)}) v(e) WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.passage_id = p.passage_id AND r.extractor = e) GROUP BY e",
+    "ref_j1_open_calls": "SELECT e AS extractor, count(*) AS n FROM passages p, (SELECT DISTINCT extractor AS e FROM results WHERE extractor IS NOT NULL) v WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.passage_id = p.passage_id AND r.extractor = e) GROUP BY e",
     "ref_w1_cumulative_spend": "SELECT line_no, extractor, round(sum(coalesce(cost_usd, 0.0)) OVER (PARTITION BY extractor ORDER BY run_at NULLS FIRST, line_no ROWS UNBOUNDED PRECEDING), 6) AS spent FROM results",
     "ref_a6_run_summary": "SELECT extractor, count(*) AS n_passages, CAST(sum(n_triples) AS BIGINT) AS n_triples, round(sum(cost_usd), 6) AS cost_usd, round(avg(n_triples), 2) AS mean_triples, round(avg(latency_ms), 1) AS mean_latency_ms, CAST(count(*) FILTER (len(errors) > 0) AS BIGINT) AS n_with_errors FROM results GROUP BY extractor",
     "ref_a7_operations": "SELECT extractor, count(*) AS calls, round(sum(cost_usd), 6) AS cost_usd, round(avg(latency_ms), 1) AS mean_latency_ms, CAST(count(*) FILTER (len(list_filter(errors, lambda e: contains(e, 'client call failed'))) > 0) AS BIGINT) AS failed_calls FROM results GROUP BY extractor",
@@ -486,22 +473,14 @@ ORACLES = {
     "ref_a5_passages": f"SELECT count(*) AS n_passages FROM (SELECT DISTINCT source_paper_id, source_section FROM (SELECT source_paper_id, source_section, relation FROM {_P} UNION ALL SELECT source_paper_id, source_section, relation FROM {_G}) WHERE relation IN {_SCORED})",
     "ref_f8_candidates": f"{_PAIRS} SELECT extractor, relation, count(*) AS n_pairs, round(sum(score), 4) AS total FROM scored WHERE score > 0 GROUP BY ALL",
     "ref_f10_mismatches": f"{_LEFTOVER} SELECT extractor, relation, CAST(sum(m) AS BIGINT) AS n FROM m WHERE m > 0 GROUP BY ALL",
-    "ref_a8_agreement": f"""{_REC}, a AS (SELECT DISTINCT paper_id, field, key FROM ({sqltext.keyed(_clean('ours'), 'kind', 'v', 'key')}) WHERE key <> ''), b AS (SELECT DISTINCT paper_id, field, key FROM ({sqltext.keyed(_clean('refs'), 'kind', 'v', 'key')}) WHERE key <> ''),
-        has AS (SELECT DISTINCT paper_id, field FROM {_clean('refs')}), grid AS (SELECT DISTINCT p.paper_id, f.field FROM ours p, (SELECT field FROM ours UNION SELECT field FROM refs) f),
-        v AS (SELECT g.field, CASE WHEN h.paper_id IS NULL THEN 'n' WHEN nb > 0 AND m = na AND m = nb THEN 'a' ELSE 'd' END AS verdict FROM grid g LEFT JOIN has h USING (paper_id, field)
-            LEFT JOIN (SELECT paper_id, field, count(*) AS na FROM a GROUP BY ALL) USING (paper_id, field) LEFT JOIN (SELECT paper_id, field, count(*) AS nb FROM b GROUP BY ALL) USING (paper_id, field)
-            LEFT JOIN (SELECT a.paper_id, a.field, count(*) AS m FROM a JOIN b ON a.paper_id = b.paper_id AND a.field = b.field AND a.key = b.key GROUP BY ALL) USING (paper_id, field))
-        SELECT field, count(*) FILTER (verdict <> 'n') AS comparable, count(*) FILTER (verdict = 'a') AS agreed, count(*) FILTER (verdict = 'd') AS disagreed, count(*) FILTER (verdict = 'n') AS not_comparable,
-            CASE WHEN count(*) FILTER (verdict <> 'n') > 0 THEN round(count(*) FILTER (verdict = 'a') / count(*) FILTER (verdict <> 'n'), 6) END AS agreement_rate FROM v GROUP BY field""",
-    "ref_a8_agreement_all": f"""{_REC_ALL}, a AS (SELECT DISTINCT extractor, paper_id, field, key FROM ({sqltext.keyed(_clean('ours', 'extractor, '), 'kind', 'v', 'key')}) WHERE key <> ''), b AS (SELECT DISTINCT paper_id, field, key FROM ({sqltext.keyed(_clean('refs'), 'kind', 'v', 'key')}) WHERE key <> ''),
+    "ref_a8_agreement": f"""{_REC_ALL}, a AS (SELECT DISTINCT extractor, paper_id, field, key FROM ({sqltext.keyed(_clean('ours', 'extractor, '), 'kind', 'v', 'key')}) WHERE key <> ''), b AS (SELECT DISTINCT paper_id, field, key FROM ({sqltext.keyed(_clean('refs'), 'kind', 'v', 'key')}) WHERE key <> ''),
         has AS (SELECT DISTINCT paper_id, field FROM {_clean('refs')}), grid AS (SELECT DISTINCT p.extractor, p.paper_id, f.field FROM ours p, (SELECT field FROM ours UNION SELECT field FROM refs) f),
         v AS (SELECT g.extractor, g.field, CASE WHEN h.paper_id IS NULL THEN 'n' WHEN nb > 0 AND m = na AND m = nb THEN 'a' ELSE 'd' END AS verdict FROM grid g LEFT JOIN has h USING (paper_id, field)
             LEFT JOIN (SELECT extractor, paper_id, field, count(*) AS na FROM a GROUP BY ALL) USING (extractor, paper_id, field) LEFT JOIN (SELECT paper_id, field, count(*) AS nb FROM b GROUP BY ALL) USING (paper_id, field)
             LEFT JOIN (SELECT a.extractor, a.paper_id, a.field, count(*) AS m FROM a JOIN b ON a.paper_id = b.paper_id AND a.field = b.field AND a.key = b.key GROUP BY ALL) USING (extractor, paper_id, field))
         SELECT extractor, field, count(*) FILTER (verdict <> 'n') AS comparable, count(*) FILTER (verdict = 'a') AS agreed, count(*) FILTER (verdict = 'd') AS disagreed, count(*) FILTER (verdict = 'n') AS not_comparable,
             CASE WHEN count(*) FILTER (verdict <> 'n') > 0 THEN round(count(*) FILTER (verdict = 'a') / count(*) FILTER (verdict <> 'n'), 6) END AS agreement_rate FROM v GROUP BY extractor, field""",
-    "ref_a8_missing_all": f"{_REC_ALL} SELECT extractor, count(DISTINCT paper_id) FILTER (paper_id NOT IN (SELECT paper_id FROM refs)) AS n_missing FROM ours GROUP BY extractor",
-    "ref_a8_missing": f"{_REC} SELECT count(DISTINCT paper_id) AS n_missing FROM ours WHERE paper_id NOT IN (SELECT paper_id FROM refs)",
+    "ref_a8_missing": f"{_REC_ALL} SELECT extractor, count(DISTINCT paper_id) FILTER (paper_id NOT IN (SELECT paper_id FROM refs)) AS n_missing FROM ours GROUP BY extractor",
     "ref_g1_key_violations": "SELECT '' AS label, '' AS key, CAST(0 AS BIGINT) AS n WHERE false",
     "ref_g2_papers": f"""{_GRAPH} SELECT g.paper_id, k.* EXCLUDE (paper_id) FROM gpapers g LEFT JOIN (SELECT paper_id, max((retrieved_at, doi)) FILTER (doi IS NOT NULL)[2] AS doi, max((retrieved_at, title)) FILTER (title IS NOT NULL)[2] AS title, max((retrieved_at, license)) FILTER (license IS NOT NULL)[2] AS license,
         max((retrieved_at, source)) FILTER (source IS NOT NULL)[2] AS source FROM papers GROUP BY paper_id) k ON k.paper_id = g.paper_id""",

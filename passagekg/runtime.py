@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -18,7 +19,8 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) is a folder of our own made and registered.
+    Where the setting is absent, one is made and registered in local mode (tests, single machine), in which every task shares the
+    machine; on a cluster that is an error, as no other folder is known to be shared.
     """
     path = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if path:
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{_CHECKPOINT_KEY} is not set: intermediate tables need a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="passagekg-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -33,11 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/passagekg/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/passagekg/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives executor loss."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives executor loss.
+
+    The table is needed as long as a result that reads it; :func:`release` removes all of them, at the latest when the application ends.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     writer = df.write.mode("overwrite")
@@ -47,15 +56,33 @@ def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+_WRITTEN: dict[str, list[str]] = {}  # application -> folders
+
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; results that have not been read yet must not be read afterwards."""
+    context = spark.sparkContext
+    paths = _WRITTEN.pop(context.applicationId, [])
+    for path in paths:
+        file = context._jvm.org.apache.hadoop.fs.Path(path)
+        file.getFileSystem(context._jsc.hadoopConfiguration()).delete(file, True)
+    return len(paths)
 
-def broadcast_if_small(df: DataFrame, rows: int, bound: int) -> DataFrame:
-    """Broadcast hint only behind a checked size; beyond ``bound`` rows Catalyst shuffles instead."""
-    from pyspark.sql import functions as F
 
-    return F.broadcast(df) if rows <= bound else df
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            release(spark)
+        except Exception:  # the application is gone already
+            pass
+
+
+atexit.register(_release_at_exit)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def ship(spark: SparkSession) -> None:
