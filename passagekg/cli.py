@@ -3,14 +3,35 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _named(path: str):
+    """The object at ``module:name``: how a client or a search is given on the command line."""
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def _collect(spark, a) -> None:
+    from passagekg.operators import ingest
+    from passagekg.sources.readers import _exists, search
+
+    page, fetch = _named(a.search), _named(a.fetch)
+    cache = _read(spark, a.cache) if _exists(spark, a.cache) else spark.createDataFrame([], "pmcid string, xml binary")
+    papers, skipped, new = ingest.collect(spark, lambda n: search(page, a.query, n), fetch, cache, a.limit)
+    new.write.mode("append").parquet(a.cache)
+    papers.drop("rank").withColumn("retrieved_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).write.mode("overwrite").parquet(a.out)
+    skipped.show(10, truncate=False)
+    ingest.licences(_read(spark, a.out)).show(truncate=False)
+
+
 def _segment(spark, a) -> None:
     from passagekg.operators import segment
     from passagekg.sources.sinks import write_passages
@@ -26,7 +47,14 @@ def _extract(spark, a) -> None:
     from passagekg.sources.sinks import append_results
 
     before = _read(spark, a.out) if a.resume and _exists(spark, a.out) else None
-    rows = runner.run(runner.runner_passages(_read(spark, a.passages), not a.all), [runner.extractor_of(s) for s in a.extractors.split(",")], before, a.retry_errors)
+    make = None
+    if a.client:
+        from passagekg.operators import model_extract
+
+        ends = {r.relation: (r.from_type, r.to_type) for r in _read(spark, a.ontology).limit(1000).collect()}
+        clients = {provider: _named(path) for provider, _, path in (c.partition("=") for c in a.client)}
+        make = model_extract.factory(clients, ends, a.cache)
+    rows = runner.run(runner.runner_passages(_read(spark, a.passages), not a.all), [runner.extractor_of(s, make) for s in a.extractors.split(",")], before, a.retry_errors)
     append_results(rows, a.out, before is not None)
     evaluate.run_summary(_read(spark, a.out)).show(truncate=False)
 
@@ -55,6 +83,15 @@ def _query(spark, a) -> None:
     graph.NAMED[a.name](graph.read(spark, a.graph)).show(50, truncate=False)
 
 
+def _join(spark, a) -> None:
+    from passagekg.operators import reference
+
+    left, right = _read(spark, a.left), _read(spark, a.right)
+    reference.join_report(left, right).show(truncate=False)
+    once = [reference.keep_first(df, "refcode") for df in (left, right)]
+    once[0].join(once[1].drop(*[c for c in once[1].columns if c in once[0].columns and c != "refcode"]), "refcode").write.mode("overwrite").parquet(a.out)
+
+
 def _agreement(spark, a) -> None:
     from passagekg.operators import reference
 
@@ -74,6 +111,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{x}", required=True)
         return c
 
+    c = command("collect", _collect, "query", "search", "fetch", "cache", "out")
+    c.add_argument("--limit", type=int, default=10)
     c = command("segment", _segment, "papers", "out")
     c.add_argument("--min-score", type=float, default=0.45)
     c.add_argument("--synthesis-only", action="store_true")
@@ -82,9 +121,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--no-resume", dest="resume", action="store_false")
     c.add_argument("--retry-errors", action="store_true")
     c.add_argument("--all", action="store_true")
+    c.add_argument("--client", action="append", help="provider=module:callable, for provider:model:strategy extractors")
+    c.add_argument("--ontology", help="table of relations, with --client")
+    c.add_argument("--cache", help="folder of model answers, with --client")
     command("evaluate", _evaluate, "results", "gold", "out").add_argument("--mode", choices=("exact", "relaxed"), default="relaxed")
     command("graph", _graph, "results", "papers", "out")
     command("query", _query, "graph").add_argument("name")
+    command("join", _join, "left", "right", "out")
     command("agreement", _agreement, "merged")
     return p
 

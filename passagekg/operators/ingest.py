@@ -7,10 +7,10 @@ skipped; repeated identifiers keep the earliest hit; the order of hits is their
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +117,57 @@ def ordered_dedupe(hits: Iterable[dict]) -> tuple[list[dict], list[str]]:
     return kept, why
 
 
+#: Hits asked for per paper wanted, as not every hit has a full text.
+OVER_FETCH = 3
+
+
+def collect(spark: SparkSession, search: Callable[[int], Iterable[dict]], fetch: Callable[[str], bytes | None], cache: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A collection run: (papers, skipped (rank, pmcid, reason), new cache rows) of the first ``limit`` hits that give a paper.
+
+    ``search(n)`` yields the ranked hits. They are fetched and parsed on the executors in waves of as many as are still missing, so
+    no more are fetched than one by one, and the result is the same: an identifier counts as seen before it is fetched,
+    whether or not a paper comes of it. A fetch that fails is a reason and does not end the run.
+    """
+    from passagekg.runtime import stage_table
+
+    kept, why = ordered_dedupe(search(limit * OVER_FETCH))
+    known = cache.groupBy("pmcid").agg(F.max("xml").alias("xml"))
+    papers = skipped = new = None
+    start = have = 0
+
+    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for pmcid, xml in zip(b["pmcid"], b["xml"], strict=True):
+                failure = None
+                if xml is None:
+                    try:
+                        xml = fetch(pmcid) or None
+                    except Exception as e:
+                        failure = f"{type(e).__name__}: {e}"
+                rows.append((xml, failure))
+            yield b.drop(columns="xml").assign(xml=[r[0] for r in rows], failure=[r[1] for r in rows])
+
+    while have < limit and start < len(kept):
+        wave = [(start + i, h["pmcid"], h.get("doi"), h.get("license")) for i, h in enumerate(kept[start : start + limit - have])]
+        start += len(wave)
+        hits = spark.createDataFrame(wave, "rank int, pmcid string, doi string, license string")
+        asked = hits.join(known, "pmcid", "left").withColumn("cached", F.col("xml").isNotNull())
+        answers = stage_table(asked.repartition("pmcid").mapInPandas(get, "pmcid string, rank int, doi string, license string, cached boolean, xml binary, failure string"), "collected")
+        found = backfilled(parsed(answers.where("xml IS NOT NULL")), hits)
+        found = stage_table(found.join(hits.select(F.col("pmcid").alias("hit"), "rank"), "hit").where("paper_id IS NOT NULL"), "collected-papers")
+        have += found.count()
+        reason = F.coalesce("failure", F.when(F.col("xml").isNull(), "no full-text XML").otherwise("unparseable / no body text"))
+        missed = answers.join(found.select(F.col("hit").alias("pmcid")), "pmcid", "left_anti").select("rank", "pmcid", reason.alias("reason"))
+        fresh = answers.where("NOT cached AND xml IS NOT NULL").select("pmcid", "xml")
+        papers, skipped, new = (b if a is None else a.unionByName(b) for a, b in ((papers, found), (skipped, missed), (new, fresh)))
+    repeated = spark.createDataFrame([(None, w.partition(":")[0], w.partition(": ")[2]) for w in why], "rank int, pmcid string, reason string")
+    if papers is None:
+        papers = parsed(cache.limit(0)).withColumn("rank", F.lit(0))
+        skipped, new = repeated.limit(0), cache.limit(0)
+    return papers.drop("hit"), skipped.unionByName(repeated), new
+
+
 def distinct_papers(papers: DataFrame) -> DataFrame:
     """P3 on tables of any size: the latest copy per paper_id, then per DOI (case-insensitive) the first paper_id.
 

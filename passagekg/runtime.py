@@ -93,7 +93,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="passagekg-")) / "passagekg.zip"  # on the driver only; Spark serves it
     with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(root.rglob("*.py")):
+        for f in sorted([*root.rglob("*.py"), *root.rglob("*.txt")]):
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._passagekg_shipped = True
