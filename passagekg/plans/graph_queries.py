@@ -370,24 +370,31 @@ _P, _G = f"({c.predicted()})", f"({c.gold()})"
 _SCORED = "(" + ", ".join(sqltext.lit(r) for r in evaluate.SCORED) + ")"
 _FREE = "(" + ", ".join(sqltext.lit(r) for r in evaluate.SUBJECT_AGNOSTIC) + ")"
 _MK = f"CASE WHEN o_key <> '' AND object_type IS NOT NULL AND (relation IN {_FREE} OR (s_key <> '' AND subject_type IS NOT NULL)) THEN CASE WHEN relation IN {_FREE} THEN '' ELSE subject_type || chr(1) || s_key END || chr(2) || object_type || chr(2) || o_key END"
-_EVAL = f"""WITH p AS (SELECT *, {_MK} AS mk FROM ({c.both_keys(_P)}) WHERE relation IN {_SCORED}), g AS (SELECT *, {_MK} AS mk FROM ({c.both_keys(_G)}) WHERE relation IN {_SCORED}),
-    pc AS (SELECT extractor, source_paper_id, source_section, relation, mk, count(*) AS np FROM p WHERE mk IS NOT NULL GROUP BY ALL), gc AS (SELECT source_paper_id, source_section, relation, mk, count(*) AS ng FROM g WHERE mk IS NOT NULL GROUP BY ALL),
-    tp AS (SELECT pc.extractor, pc.relation, sum(least(np, ng)) AS tp FROM pc JOIN gc ON pc.source_paper_id IS NOT DISTINCT FROM gc.source_paper_id AND pc.source_section IS NOT DISTINCT FROM gc.source_section AND pc.relation = gc.relation AND pc.mk = gc.mk GROUP BY ALL),
-    cells AS (SELECT e.extractor, r.relation FROM (SELECT DISTINCT extractor FROM p) e, (SELECT relation FROM p UNION SELECT relation FROM g) r),
+_CELLS = """cells AS (SELECT e.extractor, r.relation FROM (SELECT DISTINCT extractor FROM p) e, (SELECT relation FROM p UNION SELECT relation FROM g) r),
     counts AS (SELECT c.extractor, c.relation, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(coalesce(np, 0) - coalesce(tp, 0) AS BIGINT) AS fp, CAST(coalesce(ng, 0) - coalesce(tp, 0) AS BIGINT) AS fn FROM cells c
         LEFT JOIN tp ON tp.extractor IS NOT DISTINCT FROM c.extractor AND tp.relation = c.relation LEFT JOIN (SELECT extractor, relation, count(*) AS np FROM p GROUP BY ALL) a ON a.extractor IS NOT DISTINCT FROM c.extractor AND a.relation = c.relation
         LEFT JOIN (SELECT relation, count(*) AS ng FROM g GROUP BY ALL) b ON b.relation = c.relation)"""
+_EVAL = f"""WITH p AS (SELECT *, {_MK} AS mk FROM ({c.both_keys(_P)}) WHERE relation IN {_SCORED}), g AS (SELECT *, {_MK} AS mk FROM ({c.both_keys(_G)}) WHERE relation IN {_SCORED}),
+    pc AS (SELECT extractor, source_paper_id, source_section, relation, mk, count(*) AS np FROM p WHERE mk IS NOT NULL GROUP BY ALL), gc AS (SELECT source_paper_id, source_section, relation, mk, count(*) AS ng FROM g WHERE mk IS NOT NULL GROUP BY ALL),
+    tp AS (SELECT pc.extractor, pc.relation, sum(least(np, ng)) AS tp FROM pc JOIN gc ON pc.source_paper_id IS NOT DISTINCT FROM gc.source_paper_id AND pc.source_section IS NOT DISTINCT FROM gc.source_section AND pc.relation = gc.relation AND pc.mk = gc.mk GROUP BY ALL),
+    {_CELLS}"""
 _PR = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END"
 _RE = "CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END"
 _F1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END"
 _STOP = "[" + ", ".join(sqltext.lit(x) for x in tx.STOPWORDS) + "]"
 
 
+def _toks(k: str) -> str:
+    return f"(CASE WHEN len(list_filter(regexp_extract_all({k}, '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x))) > 0 THEN list_distinct(list_filter(regexp_extract_all({k}, '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x))) ELSE list_distinct(regexp_extract_all({k}, '[a-z0-9]+')) END)"
+
+
+def _nums(k: str) -> str:
+    return f"list_sort(regexp_extract_all({k}, '\\d+(?:\\.\\d+)?'))"
+
+
 def _prepared(side: str, keyed: str) -> str:
-    toks = lambda k: f"(CASE WHEN len(list_filter(regexp_extract_all({k}, '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x))) > 0 THEN list_distinct(list_filter(regexp_extract_all({k}, '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x))) ELSE list_distinct(regexp_extract_all({k}, '[a-z0-9]+')) END)"
-    nums = lambda k: f"list_sort(regexp_extract_all({k}, '\\d+(?:\\.\\d+)?'))"
     gk = "coalesce(source_paper_id, chr(3)) || chr(4) || coalesce(source_section, chr(3)) || chr(4) || relation"
-    return f"{side} AS (SELECT *, {gk} AS gk, {toks('s_key')} AS st, {toks('o_key')} AS ot, {nums('s_key')} AS sn, {nums('o_key')} AS onum FROM ({keyed}) WHERE relation IN {_SCORED})"
+    return f"{side} AS (SELECT *, {gk} AS gk, {_toks('s_key')} AS st, {_toks('o_key')} AS ot, {_nums('s_key')} AS sn, {_nums('o_key')} AS onum FROM ({keyed}) WHERE relation IN {_SCORED})"
 
 
 def _alike(kind: str, key: str, toks: str, nums: str) -> str:
@@ -399,6 +406,13 @@ def _alike(kind: str, key: str, toks: str, nums: str) -> str:
 _PAIRS = f"""WITH {_prepared('p', c.both_keys(_P))}, {_prepared('g', c.both_keys(_G))},
     sims AS (SELECT p.extractor, p.relation, {_alike('subject_type', 's_key', 'st', 'sn')} AS s, {_alike('object_type', 'o_key', 'ot', 'onum')} AS o FROM p JOIN g ON p.gk = g.gk),
     scored AS (SELECT extractor, relation, CASE WHEN relation IN {_FREE} THEN o WHEN s > 0 AND o > 0 THEN (s + o) / 2 ELSE 0.0 END AS score FROM sims)"""
+# greedy one-to-one matches: a fold over the candidate pairs of a group, best first, ties by gold and then prediction
+_FOLD = "list_reduce(list([{{'g': {g}, 'p': {p}}}] ORDER BY score DESC, {g}, {p}), lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: q.g = x[1].g OR q.p = x[1].p)) > 0 THEN acc ELSE list_concat(acc, x) END)"
+_MATCHED = f"""WITH {_prepared('p', c.both_keys(_P))}, {_prepared('g', c.both_keys(_G))},
+    sims AS (SELECT p.extractor, p.relation, p.gk, p.line_no * 1000000 + p.triple_ix AS pid, g.line_no * 1000000 + g.triple_ix AS gid, {_alike('subject_type', 's_key', 'st', 'sn')} AS s, {_alike('object_type', 'o_key', 'ot', 'onum')} AS o FROM p JOIN g ON p.gk = g.gk),
+    scored AS (SELECT extractor, relation, gk, pid, gid, CASE WHEN relation IN {_FREE} THEN o WHEN s > 0 AND o > 0 THEN (s + o) / 2 ELSE 0.0 END AS score FROM sims),
+    folded AS (SELECT extractor, relation, gk, {_FOLD.format(g='gid', p='pid')} AS m FROM scored WHERE score > 0 GROUP BY extractor, relation, gk),
+    tp AS (SELECT extractor, relation, sum(len(m)) AS tp FROM folded GROUP BY ALL),"""
 _LEFTOVER = f"""WITH pr AS (SELECT *, coalesce(source_paper_id, chr(3)) || chr(4) || coalesce(source_section, chr(3)) || chr(4) || relation AS gk, {_MK} AS mk, CASE WHEN s_key <> '' THEN coalesce(subject_type || chr(1), '') || s_key END AS sk FROM ({c.both_keys(_P)}) WHERE relation IN {_SCORED}),
     gr AS (SELECT *, coalesce(source_paper_id, chr(3)) || chr(4) || coalesce(source_section, chr(3)) || chr(4) || relation AS gk, {_MK} AS mk, CASE WHEN s_key <> '' THEN coalesce(subject_type || chr(1), '') || s_key END AS sk FROM ({c.both_keys(_G)}) WHERE relation IN {_SCORED}),
     p AS (SELECT *, row_number() OVER (PARTITION BY extractor, gk, mk ORDER BY line_no, triple_ix) AS rn FROM pr), g AS (SELECT *, row_number() OVER (PARTITION BY gk, mk ORDER BY line_no, triple_ix) AS rn FROM gr),
@@ -472,6 +486,19 @@ ORACLES = {
     "ref_a5_skipped": f"SELECT coalesce(relation, '(none)') AS relation, count(*) AS n FROM (SELECT relation FROM {_P} UNION ALL SELECT relation FROM {_G}) WHERE relation IS NULL OR relation NOT IN {_SCORED} GROUP BY 1",
     "ref_a5_passages": f"SELECT count(*) AS n_passages FROM (SELECT DISTINCT source_paper_id, source_section FROM (SELECT source_paper_id, source_section, relation FROM {_P} UNION ALL SELECT source_paper_id, source_section, relation FROM {_G}) WHERE relation IN {_SCORED})",
     "ref_f8_candidates": f"{_PAIRS} SELECT extractor, relation, count(*) AS n_pairs, round(sum(score), 4) AS total FROM scored WHERE score > 0 GROUP BY ALL",
+    "ref_f9_relaxed": f"{_MATCHED} {_CELLS} SELECT extractor, relation, tp, fp, fn, round({_PR}, 6) AS precision, round({_RE}, 6) AS recall, round({_F1}, 6) AS f1, tp + fn AS support FROM counts",
+    "ref_t7_examples": f"""{_MATCHED} used AS (SELECT extractor, unnest(list_transform(m, lambda q: q.p)) AS pid FROM folded)
+        SELECT extractor, relation, line_no, CAST(triple_ix AS INTEGER) AS triple_ix, subject_name, object_name FROM p WHERE line_no * 1000000 + triple_ix NOT IN (SELECT pid FROM used)
+        QUALIFY row_number() OVER (PARTITION BY extractor, relation ORDER BY line_no, triple_ix) <= 20""",
+    "ref_a8_relaxed": f"""{_REC_ALL}, a0 AS (SELECT DISTINCT extractor, paper_id, field, key FROM ({sqltext.keyed(_clean('ours', 'extractor, '), 'kind', 'v', 'key')}) WHERE key <> ''), b0 AS (SELECT DISTINCT paper_id, field, key FROM ({sqltext.keyed(_clean('refs'), 'kind', 'v', 'key')}) WHERE key <> ''),
+        p AS (SELECT *, 'k' AS kd, {_toks('key')} AS st, {_nums('key')} AS sn FROM a0), g AS (SELECT *, 'k' AS kd, {_toks('key')} AS st, {_nums('key')} AS sn FROM b0),
+        sims AS (SELECT p.extractor, p.paper_id, p.field, p.key AS pk, g.key AS gk, {_alike('kd', 'key', 'st', 'sn')} AS score FROM p JOIN g USING (paper_id, field)),
+        m AS (SELECT extractor, paper_id, field, len({_FOLD.format(g='gk', p='pk')}) AS m FROM sims WHERE score > 0 GROUP BY ALL),
+        has AS (SELECT DISTINCT paper_id, field FROM {_clean('refs')}), grid AS (SELECT DISTINCT p.extractor, p.paper_id, f.field FROM ours p, (SELECT field FROM ours UNION SELECT field FROM refs) f),
+        v AS (SELECT g.extractor, g.field, CASE WHEN h.paper_id IS NULL THEN 'n' WHEN nb > 0 AND m = na AND m = nb THEN 'a' ELSE 'd' END AS verdict FROM grid g LEFT JOIN has h USING (paper_id, field)
+            LEFT JOIN (SELECT extractor, paper_id, field, count(*) AS na FROM a0 GROUP BY ALL) USING (extractor, paper_id, field) LEFT JOIN (SELECT paper_id, field, count(*) AS nb FROM b0 GROUP BY ALL) USING (paper_id, field) LEFT JOIN m USING (extractor, paper_id, field))
+        SELECT extractor, field, count(*) FILTER (verdict <> 'n') AS comparable, count(*) FILTER (verdict = 'a') AS agreed, count(*) FILTER (verdict = 'd') AS disagreed, count(*) FILTER (verdict = 'n') AS not_comparable,
+            CASE WHEN count(*) FILTER (verdict <> 'n') > 0 THEN round(count(*) FILTER (verdict = 'a') / count(*) FILTER (verdict <> 'n'), 6) END AS agreement_rate FROM v GROUP BY extractor, field""",
     "ref_f10_mismatches": f"{_LEFTOVER} SELECT extractor, relation, CAST(sum(m) AS BIGINT) AS n FROM m WHERE m > 0 GROUP BY ALL",
     "ref_a8_agreement": f"""{_REC_ALL}, a AS (SELECT DISTINCT extractor, paper_id, field, key FROM ({sqltext.keyed(_clean('ours', 'extractor, '), 'kind', 'v', 'key')}) WHERE key <> ''), b AS (SELECT DISTINCT paper_id, field, key FROM ({sqltext.keyed(_clean('refs'), 'kind', 'v', 'key')}) WHERE key <> ''),
         has AS (SELECT DISTINCT paper_id, field FROM {_clean('refs')}), grid AS (SELECT DISTINCT p.extractor, p.paper_id, f.field FROM ours p, (SELECT field FROM ours UNION SELECT field FROM refs) f),

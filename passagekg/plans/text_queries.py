@@ -69,7 +69,7 @@ def p4_blocks(spark, sf):
 
 
 def p7_passages(spark, sf):
-    return segment.passages(table(spark, sf, "papers")).select("passage_id", "paper_id", "section_name", "char_start", "char_end", F.sha1("text").alias("text_sha1"), "synthesis_score", "is_synthesis").distinct()
+    return segment.passages(table(spark, sf, "papers")).select("passage_id", "paper_id", "section_name", "char_start", "char_end", F.sha1("text").alias("text_sha1")).distinct()
 
 
 def p8_ids(spark, sf):
@@ -79,7 +79,7 @@ def p8_ids(spark, sf):
 
 def p9_signals(spark, sf):
     s = segment.scored(table(spark, sf, "passages").select("passage_id", "text", "section_name").distinct())
-    return s.select("passage_id", F.sha1("text").alias("text_sha1"), *[F.coalesce(F.col("signals")[k], F.lit(0)).cast("bigint").alias(k) for k in segment.WEIGHTS if k != "quantity"])
+    return s.select("passage_id", F.sha1("text").alias("text_sha1"), *[F.coalesce(F.col("signals")[k], F.lit(0)).cast("bigint").alias(k) for k in segment.WEIGHTS])
 
 
 def p9_scores(spark, sf):
@@ -195,8 +195,18 @@ _CUES = " OR ".join(f"contains(lower(coalesce(section_name, '')), {sqltext.lit(x
 _SIGNALS = ", ".join(
     f"CAST({f'({_CUES})' if k == 'section_cue' else f'len(regexp_extract_all(text, {_re(*segment.VOCABULARY[k])}))'} AS BIGINT) AS {k}" for k in segment.WEIGHTS if k != "quantity"
 )
+# quantities: the number must not follow, nor the unit be followed by, a letter; a mark before each such number stands for lookbehind
+_UNITS = sqltext.lit(
+    "\\x01\\p{Nd}+(?:[.,]\\p{Nd}+)?[" + c.SPACE + "]*(?:mg|g|kg|mmol|mol|m|mm|nm|ml|l|µl|ul|wt[" + c.SPACE + "]*%|%|h|hr|hrs|hour|hours|min|mins|minute|minutes|°[" + c.SPACE + "]*c|º[" + c.SPACE + "]*c|degrees?[" + c.SPACE + "]*c|k|rpm|bar|mpa)(?:[^a-z]|$)"
+)
+_QUANTITY = f"CAST(len(regexp_extract_all(regexp_replace(lower(orig), '(^|[^a-z0-9])(\\p{{Nd}})', '\\1' || chr(1) || chr(1) || '\\2', 'g'), {_UNITS})) AS BIGINT) AS quantity"
+_SCANNED = f"(SELECT passage_id, orig, section_name, regexp_replace(regexp_replace(orig, '[^\\p{{L}}\\p{{N}}\\x00-\\x7f]', ' ', 'g'), '[^\\x00-\\x7f]', '_', 'g') AS text FROM (SELECT DISTINCT passage_id, text AS orig, section_name FROM passages))"
+_SCORE = "greatest(0.0, least(1.0, round(" + " + ".join(f"CAST({w} AS DOUBLE) * least({k}, {cap}) / {cap}" for k, (w, cap) in segment.WEIGHTS.items()) + ", 4)))"
 _KEYWORDS = " OR ".join(f"contains(lower(coalesce(x.name, '')), {sqltext.lit(k)})" for k in annotate.SECTION_KEYWORDS)
 
+_SENTENCES = "list_filter(list_transform(string_split(regexp_replace(" + c.strip("{x}").replace("{", "{{").replace("}", "}}").replace("{{x}}", "{x}") + ", '([.!?])[" + c.SPACE.replace("{", "{{").replace("}", "}}") + "]+([A-Z0-9(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda v: " + c.strip("v").replace("{", "{{").replace("}", "}}") + "), lambda v: v <> '')"
+_PACK = "list_reduce(list_transform({s}, lambda v: [v]), lambda acc, x: CASE WHEN length(acc[len(acc)]) + 1 + length(x[1]) > 2500 THEN list_concat(acc, x) ELSE list_append(acc[:len(acc) - 1], acc[len(acc)] || ' ' || x[1]) END)"
+
 ORACLES = {
     "ref_f1_fold": f"SELECT DISTINCT name, {sqltext.fold('name')} AS folded FROM {_ENDS} WHERE name IS NOT NULL",
     "ref_f5_keys": f"SELECT type, name, key FROM ({_KEYED})",
@@ -220,7 +230,39 @@ ORACLES = {
     "ref_p8_ids": f"""WITH p AS (SELECT row_number() OVER () AS r, * FROM papers), s AS (SELECT r, paper_id, i AS section_ix, coalesce(sections[i + 1].name, '') AS name FROM (SELECT r, paper_id, sections, unnest(range(CAST(len(sections) AS BIGINT))) AS i FROM p)),
         o AS (SELECT *, row_number() OVER (PARTITION BY r, name ORDER BY section_ix) - 1 AS occurrence FROM s)
         SELECT DISTINCT paper_id, CAST(section_ix AS INTEGER) AS section_ix, CAST(occurrence AS INTEGER) AS occurrence, paper_id || '-' || sha1(paper_id || '|' || name || '|' || occurrence || '|0')[:10] AS passage_id FROM o""",
-    "ref_p9_signals": f"SELECT DISTINCT passage_id, sha1(text_orig) AS text_sha1, {_SIGNALS} FROM (SELECT passage_id, orig AS text_orig, section_name, regexp_replace(regexp_replace(orig, '[^\\p{{L}}\\p{{N}}\\x00-\\x7f]', ' ', 'g'), '[^\\x00-\\x7f]', '_', 'g') AS text FROM (SELECT DISTINCT passage_id, text AS orig, section_name FROM passages))",
+    "ref_p9_signals": f"SELECT DISTINCT passage_id, sha1(orig) AS text_sha1, {_SIGNALS}, {_QUANTITY} FROM {_SCANNED}",
+    "ref_p9_scores": f"SELECT passage_id, text_sha1, {_SCORE} AS synthesis_score, {_SCORE} >= 0.45 AS is_synthesis, CAST(quantity AS INTEGER) AS quantity FROM (SELECT DISTINCT passage_id, sha1(orig) AS text_sha1, section_name, {_SIGNALS}, {_QUANTITY} FROM {_SCANNED})",
+    "ref_p3_distinct_papers": """WITH one AS (SELECT * FROM papers WHERE paper_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY retrieved_at DESC NULLS LAST) = 1)
+        SELECT paper_id, doi, title, CAST(len(sections) AS INTEGER) AS n_sections FROM one QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(lower(trim(doi)), ''), 'no doi:' || paper_id) ORDER BY paper_id) = 1""",
+    "ref_p13_chunks": f"""WITH p AS (SELECT DISTINCT passage_id, text FROM passages WHERE text IS NOT NULL), parts AS (SELECT passage_id, text, {_SENTENCES.format(x="text")} AS s FROM p),
+        packed AS (SELECT DISTINCT passage_id, CASE WHEN length(text) <= 2500 THEN [text] ELSE {_PACK.format(s="s")} END AS chunks FROM parts)
+        SELECT DISTINCT passage_id, CAST(i AS INTEGER) AS chunk_ix, CAST(length(chunks[i + 1]) AS INTEGER) AS n_chars, sha1(chunks[i + 1]) AS chunk_sha1 FROM (SELECT *, unnest(range(CAST(len(chunks) AS BIGINT))) AS i FROM packed)""",
+    "ref_src15_fallback": f"""WITH firsts AS (SELECT paper_id, list_filter(sections, lambda x: {_KEYWORDS})[1] AS s FROM papers),
+        paras AS (SELECT paper_id, s.name AS section, list_filter(list_transform(string_split(s.text, chr(10)), lambda x: {c.strip('x')}), lambda x: length(x) >= 200) AS ps FROM firsts WHERE s IS NOT NULL),
+        each AS (SELECT paper_id, section, r, i, ps[i + 1] AS para FROM (SELECT *, unnest(range(CAST(len(ps) AS BIGINT))) AS i FROM (SELECT *, row_number() OVER () AS r FROM paras))),
+        cut AS (SELECT *, {_SENTENCES.format(x="para")} AS s FROM each), chunked AS (SELECT r, paper_id, section, i, CASE WHEN length(para) <= 2500 THEN [para] ELSE {_PACK.format(s="s")} END AS chunks FROM cut),
+        flat AS (SELECT r, paper_id, section, i, k, chunks[k + 1] AS text FROM (SELECT *, unnest(range(CAST(len(chunks) AS BIGINT))) AS k FROM chunked)),
+        kept AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY i, k) - 1 AS ix FROM flat WHERE length(text) >= 200)
+        SELECT DISTINCT paper_id || ':' || coalesce(nullif(trim(regexp_replace(lower(section), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section') || ':' || printf('%03d', ix) AS passage_id, section, CAST(length(text) AS INTEGER) AS n_chars FROM kept""",
+    "ref_p7_passages": f"""WITH p AS (SELECT row_number() OVER () AS r, * FROM papers),
+        secs AS (SELECT r, paper_id, i, coalesce(sections[i + 1].name, '') AS name, sections[i + 1].text AS text FROM (SELECT *, unnest(range(CAST(len(sections) AS BIGINT))) AS i FROM p)),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY r, name ORDER BY i) - 1 AS occurrence FROM secs),
+        lines AS (SELECT r, i, paper_id, name, occurrence, text, string_split(text, chr(10)) AS parts FROM numbered WHERE text IS NOT NULL),
+        placed AS (SELECT *, parts[k] AS run, coalesce(list_sum(list_transform(parts[:k - 1], lambda x: length(x) + 1)), 0) AS before FROM (SELECT *, unnest(range(1, CAST(len(parts) AS BIGINT) + 1)) AS k FROM lines)),
+        blocks AS (SELECT *, before + length(run) - length(regexp_replace(run, '^[{c.SPACE}]+', '')) AS a, length({c.strip('run')}) AS n FROM placed),
+        merged AS (SELECT r, i, paper_id, name, occurrence, any_value(text) AS text, list_reduce(list([[CAST(a AS BIGINT), CAST(a + n AS BIGINT)]] ORDER BY k), lambda acc, x: CASE
+            WHEN least(x[1][2] - x[1][1], acc[len(acc)][2] - acc[len(acc)][1]) < 200 AND x[1][2] - acc[len(acc)][1] <= 3000 THEN list_append(acc[:len(acc) - 1], [acc[len(acc)][1], x[1][2]]) ELSE list_concat(acc, x) END) AS spans
+            FROM blocks WHERE n > 0 GROUP BY r, i, paper_id, name, occurrence),
+        each AS (SELECT *, spans[j][1] AS a, spans[j][2] AS b FROM (SELECT *, unnest(range(1, CAST(len(spans) AS BIGINT) + 1)) AS j FROM merged)),
+        ends AS (SELECT *, list_transform(string_split(regexp_replace(substring(text, a + 1, b - a), '([.!?])([{c.SPACE}]+)', '\\1\\2' || chr(1), 'g'), chr(1)), lambda x: CAST(length(x) AS BIGINT)) AS sizes FROM each),
+        stops AS (SELECT *, list_transform(range(1, CAST(len(sizes) AS BIGINT) + 1), lambda q: CAST(a + list_sum(sizes[:q]) AS BIGINT)) AS stop FROM ends),
+        cuts AS (SELECT *, CASE WHEN b - a <= 2500 THEN [a] ELSE list_reduce(list_concat([[a]], list_transform(range(1, CAST(len(stop) AS BIGINT) + 1), lambda q: [CASE WHEN q = 1 THEN a ELSE stop[q - 1] END, stop[q]])),
+            lambda acc, x: CASE WHEN x[2] - acc[len(acc)] >= 2500 THEN list_append(acc, CASE WHEN x[1] = acc[len(acc)] THEN x[2] ELSE x[1] END) ELSE acc END) END AS cut FROM stops),
+        pieces AS (SELECT *, cut[q] AS lo, coalesce(cut[q + 1], b) AS hi FROM (SELECT *, unnest(range(1, CAST(len(cut) AS BIGINT) + 1)) AS q FROM cuts)),
+        trimmed AS (SELECT *, substring(text, lo + 1, hi - lo) AS piece FROM pieces),
+        kept AS (SELECT *, lo + length(piece) - length(regexp_replace(piece, '^[{c.SPACE}]+', '')) AS s0, {c.strip('piece')} AS body FROM trimmed),
+        indexed AS (SELECT *, row_number() OVER (PARTITION BY r, i ORDER BY s0) - 1 AS ix FROM kept WHERE length(body) >= 40)
+        SELECT DISTINCT paper_id || '-' || sha1(paper_id || '|' || name || '|' || occurrence || '|' || ix)[:10] AS passage_id, paper_id, name AS section_name, CAST(s0 AS INTEGER) AS char_start, CAST(s0 + length(body) AS INTEGER) AS char_end, sha1(body) AS text_sha1 FROM indexed""",
     "ref_m1_full_text": """SELECT DISTINCT paper_id, retrieved_at, sha1(coalesce(array_to_string(list_transform(sections, lambda s: '## ' || coalesce(s.name, '') || chr(10) || coalesce(s.text, '')), chr(10) || chr(10)), '')) AS full_text_sha1,
         CAST(coalesce(list_sum(list_transform(sections, lambda s: coalesce(length(s.text), 0))), 0) AS BIGINT) AS n_chars FROM papers""",
     "ref_m1_first_section": f"SELECT DISTINCT paper_id, retrieved_at, list_filter(sections, lambda x: {_KEYWORDS})[1].name AS section_name FROM papers",
