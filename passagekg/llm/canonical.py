@@ -261,14 +261,14 @@ class Dictionary:
                 return self.exact[key][0]
         return 0
 
-    def find(self, name: str | None, frequency: dict[int, int]) -> tuple[int, float]:
+    def find(self, name: str | None, frequency: dict[int, int], near: bool = True) -> tuple[int, float]:
         """(canon_id, weighted distance); (0, nan) for a miss."""
         ks = keys(name)
         for key in ks:
             if key in self.exact:
                 return min(self.exact[key], key=lambda c: (-frequency.get(c, 0), c)), 0.0
         best: tuple[float, int, int] | None = None
-        for key in ks:
+        for key in ks if near else ():
             tried = edits_tried(key)
             for known in {k for d in deletions(key, tried) for k in self.near.get(d, ())} if tried else ():
                 w = verified(key, known)
@@ -330,36 +330,39 @@ def _find_udf(shared, frequency):
     mark = shared.id if hasattr(shared, "id") else shared._jbroadcast.id()
 
     @F.pandas_udf(_FOUND)
-    def find(names: pd.Series) -> pd.DataFrame:
+    def find(names: pd.Series, near: pd.Series) -> pd.DataFrame:
         memo = _MEMO.setdefault(mark, {})
         d, f = shared.value, frequency
         if len(memo) > 500_000:
             memo.clear()
         out = []
-        for n in names:
-            hit = memo.get(n)
+        for key in zip(names, near, strict=True):
+            hit = memo.get(key)
             if hit is None:
-                hit = memo[n] = d.find(n, f)
+                hit = memo[key] = d.find(key[0], f, key[1])
             out.append(hit)
         return pd.DataFrame(out, columns=["canon_id", "distance"])
 
     return find
 
 
-def mapped(rows: DataFrame, canon: DataFrame, symbols: DataFrame, shared=None) -> DataFrame:
+def mapped(rows: DataFrame, canon: DataFrame, symbols: DataFrame, shared=None, near: Column | None = None) -> DataFrame:
     """``rows`` (with ``name``) plus canon_id (0: not in the list) and distance, which replace columns of these names.
 
-    ``shared`` is the :func:`dictionary` of the list, if the caller has it already.
+    ``shared`` is the :func:`dictionary` of the list, if the caller has it already; ``near`` tells rows that may be reached by an
+    edit (all, if not given).
     """
     rows = rows.drop("canon_id", "distance")
+    near = F.lit(True) if near is None else F.coalesce(near, F.lit(False))
     shared = shared or dictionary(canon, symbols)
     if shared is None:
-        return _mapped_by_join(rows, canon, symbols)
+        found, edited = _mapped_by_join(rows, canon, symbols), ~near & (F.col("distance") > 0)
+        return found.select(*rows.columns, F.when(edited, 0).otherwise(F.col("canon_id")).cast("bigint").alias("canon_id"), F.when(~edited | F.col("distance").isNull(), F.col("distance")).alias("distance"))
     exact = _exact_udf(shared)
     # corpus frequency of each entry: at most one row per reference entry reaches the driver
     counts = rows.groupBy("name").agg(F.count("*").alias("n")).groupBy(exact("name").alias("c")).agg(F.sum("n").alias("n"))
     frequency = {r.c: r.n for r in counts.collect()}
-    return rows.withColumn("_f", _find_udf(shared, frequency)("name")).select(*rows.columns, "_f.canon_id", "_f.distance")
+    return rows.withColumn("_f", _find_udf(shared, frequency)("name", near)).select(*rows.columns, "_f.canon_id", "_f.distance")
 
 
 _STRINGS = T.ArrayType(T.StringType())

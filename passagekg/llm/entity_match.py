@@ -82,7 +82,7 @@ def gold_entries(gold: DataFrame, canon: DataFrame, symbols: DataFrame, shared=N
     read = _shorthand_udf(canonical.symbol_table(symbols))
     subjects = triples.where("subject IS NOT NULL").select("line_no", "ix", F.lit("subject").alias("relation"), read("subject").alias("s")).where("s.metal IS NOT NULL")
     named = objects.unionByName(subjects.select("line_no", "ix", "relation", F.col("s.metal").alias("said_metal"), "s.name"))
-    named = canonical.mapped(named, canon, symbols, shared)
+    named = canonical.mapped(named, canon, symbols, shared, F.col("relation") != "subject")  # shorthand is read exactly
     kinds = canon.select("canon_id", "entity_type", F.split("canonical_name", " ")[0].alias("element"), "pubchem_cid").join(symbols.select("symbol", "element"), "element", "left")
     known = named.join(kinds, "canon_id")  # left to the planner, which broadcasts the list while it is small
     first = lambda cond, value: F.min_by(value, F.when(cond, F.col("ix")))

@@ -198,3 +198,21 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats",
     )
+
+
+def kept_to(mixed: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats, near, capped) per target: whether its tokens are as near to its share as whole texts
+    can be relied on to come, and no text of it, whoever holds a copy, is used more often than it allows.
+
+    Each source is off by less than its longest text, and the total by less than one text of every source.
+    """
+    text = F.sha2("text", 256).alias("text_id")
+    held = documents.where("source IS NOT NULL").select("doc_id", "source", text)
+    used = mixed.select("doc_id", "copies").join(held.select("doc_id", "text_id"), "doc_id").groupBy("text_id").agg(F.sum("copies").alias("used"))
+    t = _valid(targets)
+    over = held.join(used, "text_id").join(t.select("source", "max_repeats"), "source").groupBy("source").agg(F.max(F.col("used") - F.col("max_repeats")).alias("over"))
+    s = shares(mixed, targets).select("source", "target_share", "tokens", "max_repeats").join(over, "source", "left")
+    whole = mixed.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("all"), F.max("n_tokens").alias("longest"))
+    room = F.col("longest") * (1 + F.col("target_share") * t.count())
+    near = F.abs(F.col("tokens") - F.col("target_share") * F.col("all")) <= room
+    return s.crossJoin(whole).select("source", "target_share", "max_repeats", near.alias("near"), (F.coalesce("over", F.lit(0)) <= 0).alias("capped"))  # one row

@@ -291,3 +291,14 @@ def summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.round(F.sum("used") / (F.count("*") * capacity), 6).alias("fill"),
         F.ceil(F.sum("used") / capacity).alias("least"), F.max("used").cast("int").alias("fullest"),
     )
+
+
+def placed(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, whole, fits) of every text: whether its parts make it up without gap or overlap, and no container of its parts is overfull."""
+    used = F.sum("size").over(Window.partitionBy("container"))
+    per = packed.withColumn("used", used).groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("part_ix", "token_start").alias("parts"), F.min("token_start").alias("first"), F.max(F.col("token_start") + F.col("size")).alias("end"), F.sum("size").alias("tokens"),
+        F.max("part_ix").alias("last"), F.max("used").alias("fullest"),
+    )
+    whole = (F.col("n") == F.col("parts")) & (F.col("last") == F.col("n") - 1) & (F.col("first") == 0) & (F.col("end") == F.col("tokens")) & (F.ceil(F.col("tokens") / capacity) == F.col("n"))
+    return per.select("doc_id", whole.alias("whole"), (F.col("fullest") <= capacity).alias("fits"))

