@@ -274,6 +274,13 @@ ORACLES = {
     "ref_a16_licences": "SELECT coalesce(nullif(license, ''), 'unknown') AS license, count(*) AS n FROM papers GROUP BY 1",
     "ref_p12_sentences": f"""SELECT passage_id, sha1(text) AS text_sha1, CAST(len(list_filter(string_split(regexp_replace({c.strip('text')}, '([.!?])[{c.SPACE}]+([A-Z0-9(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: {c.strip('s')} <> '')) AS BIGINT) AS n_sentences
         FROM (SELECT DISTINCT passage_id, text FROM passages)""",
+    "ref_p15_sentence": f"""WITH rows_ AS (SELECT line_no, i, passage_text AS text, lower({c.strip('triples[i + 1].object_name')}) AS needle FROM (SELECT line_no, passage_text, triples, unnest(range(CAST(len(triples) AS BIGINT))) AS i FROM gold)
+            WHERE passage_text IS NOT NULL AND triples[i + 1].object_name IS NOT NULL),
+        spans AS (SELECT *, CASE WHEN needle <> '' AND instr(lower(text), needle) > 0 THEN instr(lower(text), needle) - 1 END AS span, {_SENTENCES.format(x="text")} AS s FROM rows_),
+        walked AS (SELECT *, list_reduce(list_concat([{{'s': '', 'at': CAST(0 AS BIGINT), 'hit': CAST(NULL AS VARCHAR)}}], list_transform(s, lambda v: {{'s': v, 'at': CAST(0 AS BIGINT), 'hit': CAST(NULL AS VARCHAR)}})),
+            lambda acc, x: {{'s': '', 'at': CASE WHEN instr(substring(text, acc.at + 1), x.s) > 0 THEN CAST(acc.at + instr(substring(text, acc.at + 1), x.s) - 1 + length(x.s) AS BIGINT) ELSE acc.at END,
+                'hit': coalesce(acc.hit, CASE WHEN instr(substring(text, acc.at + 1), x.s) > 0 AND acc.at + instr(substring(text, acc.at + 1), x.s) - 1 <= span AND span < acc.at + instr(substring(text, acc.at + 1), x.s) - 1 + length(x.s) THEN x.s END)}}) AS w FROM spans)
+        SELECT line_no, CAST(i AS INTEGER) AS triple_ix, CASE WHEN span IS NULL THEN '' ELSE coalesce(w.hit, {c.strip('text')}) END AS sentence FROM walked""",
     "ref_p14_spans": f"""SELECT line_no, CAST(i AS INTEGER) AS triple_ix, CAST(pos - 1 AS INTEGER) AS span_start, CAST(pos - 1 + length(needle) AS INTEGER) AS span_end
         FROM (SELECT *, strpos(lower(passage_text), needle) AS pos FROM (SELECT line_no, i, passage_text, lower({c.strip('triples[i + 1].object_name')}) AS needle FROM (SELECT line_no, passage_text, triples, unnest(range(CAST(len(triples) AS BIGINT))) AS i FROM gold) WHERE passage_text IS NOT NULL AND triples[i + 1].object_name IS NOT NULL)) WHERE needle <> '' AND pos > 0""",
     "ref_t1_first": "SELECT line_no, passage_id, extractor FROM results ORDER BY line_no LIMIT 100",
