@@ -68,7 +68,8 @@ _CODE = re.compile(r"(?:(nh2|amino|oh|hydroxy|no2|nitro|br|bromo)[ _-]+)?([a-z]{
 _GROUP = {"amino": "nh2", "hydroxy": "oh", "nitro": "no2", "bromo": "br"}
 _WORDS = re.compile(r"[a-z]+|\d+|'")
 _ROMANS = re.compile(r"\b(?:i{1,3}|iv|vi{0,3})\b")
-_GROUPS = re.compile(r"(?:meth|eth|prop|but|pent|hex|phen|benz)yl|amino|nitros?o?|hydroxy|bromo|chloro|fluoro|iodo|mercapto|nitrite|nitrate|sulf[aiu]|phosph|methoxy|ethoxy|carboxy")
+#: Functional groups in a name; a garbled one (``dimeethyl``, ``nitrole``) is not another one.
+_GROUPS = re.compile(r"(?:meth|(?<!me)eth|prop|but|pent|hex|phen|benz)yl|amino|nitros?o?(?!le)|hydroxy|bromo|chloro|fluoro|iodo|mercapto|nitrite|nitrate|sulf[aiu]|phosph|methoxy|ethoxy|carboxy")
 _STOP = frozenset("of the a an at by and with to via".split())
 
 
@@ -194,13 +195,14 @@ def deletions(key: str, edits: int) -> set[str]:
 
 
 def distance(a: str, b: str) -> float:
-    """Weighted Damerau-Levenshtein: a swap, a doubled or a dropped letter is likelier than another letter."""
+    """Weighted Damerau-Levenshtein from the typed ``a`` to the known ``b``: a doubled, swapped or dropped letter is likelier than a
+    letter too many, and that likelier than another letter."""
     two: list[float] = []
     one = [0.7 * j for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [0.7 * i]
+        row = [0.9 * i]
         for j, y in enumerate(b, 1):
-            best = one[j - 1] if x == y else min(one[j - 1] + 1.0, one[j] + (0.5 if i > 1 and x == a[i - 2] else 0.7), row[j - 1] + 0.7)
+            best = one[j - 1] if x == y else min(one[j - 1] + 1.0, one[j] + (0.5 if i > 1 and x == a[i - 2] else 0.9), row[j - 1] + 0.7)
             if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and x != y:
                 best = min(best, two[j - 2] + 0.6)
             row.append(best)

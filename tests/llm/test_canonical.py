@@ -19,7 +19,7 @@ CASES = {
     "ｚｉｎｃ nitrаte": 4, "zi​nc nitrate": 4, "In(CH3COO)3": 5, "indium(iii) acetate": 5, "indium(II) acetate": 0, "In-STDC": 0, "4-(2-(4-carboxyphenyl)ethenyl)benzoic acid": 6, "4 - [2-(4-carboxyphenyl)ethhenyl]benzoic acid": 6,
     "4,4' stilbenedicarboxylic acids": 6, "h2stdc": 6, "H2STDC (4,4'-stilbenedicarboxylic acid)": 6, "recrystallised 2-methylimidazole, 98%": 7, "4-methylimidazole": 0, "2-ethylimidazole": 0, "dry EtOH": 8, "etanol": 8, "MeOH (99.8%)": 9,
     "Milli-Q grade water": 10, "deionised wter": 10, "DI water": 10, "H₂O": 10, "via solvothermal route": 11, "solvo-thermal": 11, "stirring at RT": 12, "room-temperаture stirrіng": 12, "HPLC-grade N,N‐dimethylfomramide": 13,
-    "kerosene": 0, "the product": 0, "n/a": 0, "none": 0, " ": 0, "": 0, None: 0, "-": 0, "x" * 3000: 0, "iron(III) chloride": 14, "iron(II) chloride": 0,
+    "N,N-dimeethylformamide": 13, "irn(III) chloride": 14, "N,N-diethylformamide": 0, "kerosene": 0, "the product": 0, "n/a": 0, "none": 0, " ": 0, "": 0, None: 0, "-": 0, "x" * 3000: 0, "iron(III) chloride": 14, "iron(II) chloride": 0,
 }
 
 
