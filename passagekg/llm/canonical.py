@@ -69,7 +69,7 @@ _GROUP = {"amino": "nh2", "hydroxy": "oh", "nitro": "no2", "bromo": "br"}
 _WORDS = re.compile(r"[a-z]+|\d+|'")
 _ROMANS = re.compile(r"\b(?:i{1,3}|iv|vi{0,3})\b")
 #: Functional groups in a name; a garbled one (``dimeethyl``, ``nitrole``) is not another one.
-_GROUPS = re.compile(r"(?:meth|(?<!me)eth|prop|but|pent|hex|phen|benz)yl|amino|nitros?o?(?!le)|hydroxy|bromo|chloro|fluoro|iodo|mercapto|nitrite|nitrate|sulf[aiu]|phosph|methoxy|ethoxy|carboxy")
+_GROUPS = re.compile(r"(?:meth|(?<!me)eth|prop|but|pent|hex|phen|benz)yl|amino|nitro(?:so)?(?!le)|hydroxy|bromo|chloro|fluoro|iodo|mercapto|nitrite|nitrate|sulf[aiu]|phosph|methoxy|ethoxy|carboxy")
 _STOP = frozenset("of the a an at by and with to via".split())
 
 
