@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagekg.functions.text import with_key
@@ -139,35 +139,44 @@ def solvent_temperature_by_linker(g: Graph, limit: int = 50) -> DataFrame:
     rows, as every later name has that many before it with the same count, so the cut is exact.
     """
     per = _of_mof(g, "USES_LINKER", "linker_key", "OrganicLinker").join(_of_mof(g, "SYNTHESIZED_BY", "method", "SynthesisMethod"), "mof")
-    per = per.join(_names(g, "OrganicLinker", "linker_key", "linker"), "linker_key").select("mof", "method", "linker").distinct()
+    per = stage_table(per.join(_names(g, "OrganicLinker", "linker_key", "linker"), "linker_key").select("mof", "method", "linker").distinct(), "linker-frameworks")
     routes = per.select("method").distinct()
+    sizes = per.groupBy("linker", "method").agg(F.count("*").alias("n"))
 
-    def classes(rel: str, label: str, out: str) -> DataFrame:
-        """(out_set: sorted routes, out_names: first names) of every class, 'unspecified' for routes without any."""
+    def names(rel: str, label: str) -> DataFrame:
         named = _of_method(g, rel, "k", label).join(_names(g, label, "k", "name"), "k").select("method", "name").distinct()
-        full = routes.join(named, "method", "left").withColumn("name", F.coalesce("name", F.lit("unspecified")))
+        return routes.join(named, "method", "left").withColumn("name", F.coalesce("name", F.lit("unspecified")))
+
+    def classes(full: DataFrame, out: str) -> DataFrame:
+        """(out_set: sorted routes, out_names: first names) of every class, 'unspecified' for routes without any."""
         sets = full.groupBy("name").agg(F.array_sort(F.collect_set("method")).alias(f"{out}_set"))
         return sets.groupBy(f"{out}_set").agg(F.slice(F.array_sort(F.collect_list("name")), 1, limit).alias(f"{out}_names"))
 
-    s, c = classes("IN_SOLVENT", "Solvent", "s"), classes("AT_CONDITION", "Condition", "c")
+    solvents, conditions = names("IN_SOLVENT", "Solvent"), names("AT_CONDITION", "Condition")
+    # a linker gives a row with at least as many frameworks for every solvent and condition of its largest route, so the
+    # first ``limit`` rows are settled to be no smaller than the route with which that many rows are reached
+    rows_of = solvents.groupBy("method").agg(F.count("*").alias("a")).join(conditions.groupBy("method").agg(F.count("*").alias("b")), "method").select("method", (F.col("a") * F.col("b")).alias("rows"))
+    largest = sizes.groupBy("linker").agg(F.max(F.struct("n", "method")).alias("m")).select(F.col("m.n").alias("n"), F.col("m.method").alias("method"))
+    first = largest.orderBy(F.desc("n"), "method").limit(limit).join(rows_of, "method")
+    reached = first.withColumn("sum", F.sum("rows").over(Window.orderBy(F.desc("n"), "method").rowsBetween(Window.unboundedPreceding, 0)))  # at most ``limit`` rows
+    floor = reached.agg(F.coalesce(F.max(F.when(F.col("sum") >= limit, F.col("n"))), F.lit(0)).alias("floor")).first().floor
+    totals = per.groupBy("linker").agg(F.countDistinct("mof").alias("total"))
+    sizes = sizes.join(totals.where(F.col("total") >= floor).select("linker"), "linker")
+    # only routes of such linkers matter
+    near = stage_table(sizes, "linker-sizes")
+    used = near.select("method").distinct()
+    s, c = classes(solvents.join(used, "method"), "s"), classes(conditions.join(used, "method"), "c")
     meet = s.select("s_set", F.explode("s_set").alias("m")).join(c.select("c_set", F.explode("c_set").alias("m")), "m").select("s_set", "c_set").distinct()
     meet = meet.withColumn("shared", F.array_intersect("s_set", "c_set"))
     meet = stage_table(meet.withColumn("sid", F.sha1(F.array_join("shared", "\u0001"))), "linker-classes")
-    per = stage_table(per, "linker-frameworks")
     sets = meet.select("sid", "shared").dropDuplicates(["sid"]).select("sid", F.explode("shared").alias("method"))
-    # bounds from counts per (linker, route): a union is at least its largest part and at most the sum of its parts
-    sizes = stage_table(per.groupBy("linker", "method").agg(F.count("*").alias("n")), "linker-sizes")
-    # a linker gives at least one row with its largest route; one with fewer frameworks in all cannot appear
-    enough = sizes.groupBy("linker").agg(F.max("n").alias("n")).orderBy(F.desc("n")).limit(limit).agg(F.when(F.count("*") == limit, F.min("n")).otherwise(0).alias("enough"))
-    totals = per.groupBy("linker").agg(F.countDistinct("mof").alias("total"))
-    large = totals.join(F.broadcast(enough), F.col("total") >= F.col("enough")).select("linker")  # one row
-    sizes = sizes.join(large, "linker")
-    bounds = stage_table(sets.join(sizes, "method").groupBy("linker", "sid").agg(F.max("n").alias("least"), F.sum("n").alias("most")), "linker-bounds")
-    # every (linker, set) gives at least one row, so a set that cannot reach the limit-th lower bound cannot appear
-    floor = bounds.orderBy(F.desc("least")).limit(limit).agg(F.min("least").alias("floor"))
-    open_ = bounds.join(F.broadcast(floor), F.col("most") >= F.col("floor")).select("linker", "sid")  # one row
-    counted = open_.join(sets, "sid").join(per, ["linker", "method"]).groupBy("linker", "sid").agg(F.countDistinct("mof").alias("n_mofs"))
-    counted = stage_table(counted, "linker-counts")
+    # a union is at most the sum of its parts; of a shared set a linker sees only its own routes, so few sets are left to count
+    seen = sets.join(near, "method").groupBy("linker", "sid").agg(F.sum("n").alias("most"), F.max("n").alias("least"), F.array_sort(F.collect_set("method")).alias("own"))
+    seen = stage_table(seen.where(F.col("most") >= floor).withColumn("rid", F.sha1(F.array_join("own", "\u0001"))), "linker-bounds")
+    distinct = seen.groupBy("linker", "rid").agg(F.first("own").alias("own"), F.max("least").alias("least"))
+    single = distinct.where(F.size("own") == 1).select("linker", "rid", F.col("least").alias("n_mofs"))
+    joint = distinct.where(F.size("own") > 1).select("linker", "rid", F.explode("own").alias("method")).join(per, ["linker", "method"]).groupBy("linker", "rid").agg(F.countDistinct("mof").alias("n_mofs"))
+    counted = stage_table(seen.select("linker", "sid", "rid").join(single.unionByName(joint), ["linker", "rid"]).select("linker", "sid", "n_mofs"), "linker-counts")
     last = counted.orderBy(F.desc("n_mofs")).limit(limit).agg(F.min("n_mofs").alias("floor"))
     kept = counted.join(F.broadcast(last), F.col("n_mofs") >= F.col("floor")).drop("floor")
     pairs = kept.join(meet, "sid").join(s, "s_set").join(c, "c_set")
