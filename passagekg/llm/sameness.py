@@ -17,16 +17,28 @@ copies of one value form no pair; texts of any length are compared whole; repeat
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from passagekg.functions.lookalike import folded
+from passagekg.functions.lookalike import fold_lookalikes
 from passagekg.runtime import stage_table
 
 COLLATION = "UNICODE"
 _NON_BLANK = r"(?U)[^\s\x1c-\x1f\x85]"
 
 
+@F.pandas_udf(T.StringType())
+def _fold_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else fold_lookalikes(t))
+
+
+def folded(text: Column) -> Column:
+    """``text`` in its mapped form; only texts with a character beyond ASCII travel to Python. Null stays null."""
+    return F.coalesce(_fold_udf(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def _hashed(values: DataFrame, within: list[str]) -> DataFrame:
     """(*within, key, coarse, h) of the values that are not blank."""
     rows = values.where(F.col("value").rlike(_NON_BLANK)).withColumn("plain", folded(F.col("value")))
