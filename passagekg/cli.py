@@ -66,7 +66,7 @@ def _evaluate(spark, a) -> None:
     g = ontology.gold_triples(evaluate.latest_gold(_read(spark, a.gold)))
     counts = evaluate.counts_exact(p, g) if a.mode == "exact" else evaluate.counts_relaxed(p, g)
     evaluate.scores(counts).write.mode("overwrite").parquet(a.out)
-    evaluate.micro(counts).show(truncate=False)
+    evaluate.with_operations(evaluate.micro(counts), _read(spark, a.results)).show(truncate=False)
 
 
 def _graph(spark, a) -> None:
@@ -87,9 +87,10 @@ def _join(spark, a) -> None:
     from passagekg.operators import reference
 
     left, right = _read(spark, a.left), _read(spark, a.right)
-    reference.join_report(left, right).show(truncate=False)
+    reference.join_report(left, right, "refcode").show(truncate=False)
     once = [reference.keep_first(df, "refcode") for df in (left, right)]
     once[0].join(once[1].drop(*[c for c in once[1].columns if c in once[0].columns and c != "refcode"]), "refcode").write.mode("overwrite").parquet(a.out)
+    print(f"in both: {_read(spark, a.out).count()}")
 
 
 def _agreement(spark, a) -> None:

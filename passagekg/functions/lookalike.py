@@ -11,11 +11,6 @@ import re
 import unicodedata
 from functools import cache
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 #: Letters of other scripts drawn like a Latin letter.
 HOMOGLYPHS = {
     # Greek
@@ -72,13 +67,3 @@ def plain_text(text: str) -> str:
     if not text.isascii():
         text = fold_lookalikes(_TEN_POWER.sub(r"10^\1", text)).translate(_SCRIPT_DIGITS)
     return _SPACES.sub(" ", text).strip()
-
-
-@F.pandas_udf(T.StringType())
-def _fold_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else fold_lookalikes(t))
-
-
-def folded(text: Column) -> Column:
-    """Column form; only texts with a character beyond ASCII travel to Python. Null stays null."""
-    return F.coalesce(_fold_udf(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)

@@ -232,3 +232,9 @@ def operations(results: DataFrame) -> DataFrame:
     return results.groupBy("extractor").agg(
         F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.round(F.avg("latency_ms"), 1).alias("mean_latency_ms"), F.sum(failed.cast("int")).alias("failed_calls")
     )
+
+
+def with_operations(totals: DataFrame, results: DataFrame) -> DataFrame:
+    """``totals`` (one row per extractor, as of :func:`micro`) with calls, cost, latency and failed calls of its runs."""
+    ops = operations(results).withColumnRenamed("extractor", "_e")
+    return totals.join(ops, F.col("extractor").eqNullSafe(F.col("_e")), "left").drop("_e")

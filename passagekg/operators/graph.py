@@ -295,13 +295,29 @@ NAMED = {
 }
 
 
-def write(g: Graph, path: str) -> None:
-    """SNK6, G7: replace the graph's tables; sorted inside files by key for later look-ups."""
-    for name in ("nodes", "edges", "mentions", "papers"):
-        df = getattr(g, name)
+#: Takes a table's name and its rows, and stores them.
+Writer = Callable[[str, DataFrame], None]
+
+
+def parquet_writer(path: str) -> Writer:
+    """Replaces the tables of a folder, sorted inside files by key for later look-ups."""
+
+    def put(name: str, df: DataFrame) -> None:
         keys = [c for c in ("label", "src_label", "key", "src_key", "paper_id") if c in df.columns]
         df.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
+    return put
+
+
+def write(g: Graph, to: str | Writer) -> None:
+    """SNK6, G7, U6: store the graph's tables in a folder or by the caller's writer (a database, a fake in a test).
+
+    Papers and nodes come before the tables that point at them.
+    """
+    put = parquet_writer(to) if isinstance(to, str) else to
+    for name in ("papers", "nodes", "edges", "mentions"):
+        put(name, getattr(g, name))
+
 
 def read(spark, path: str) -> Graph:
     return Graph(*(spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in ("nodes", "edges", "mentions", "papers")))

@@ -138,13 +138,3 @@ def composition_screen(merged: DataFrame, names: DataFrame, compositions: dict[s
     rows = merged.select("refcode", "metal", F.col("clean_linker_1").alias("linker"), F.col("cn_topology").alias("topology"), F.explode(elements_in(F.col("metal"))).alias("has_metal"))
     # equi join on the metal first, then the substring test
     return rows.join(F.broadcast(wanted), "has_metal").where(F.lower("linker").contains(F.col("has_linker"))).select("name", "refcode", "metal", "linker", "topology").distinct()
-
-
-def join_report(left: DataFrame, right: DataFrame, key: str = "refcode") -> DataFrame:
-    """How a join of two reference tables came about: (part, rows, unique_keys, repeated_rows) of either side and of the intersection."""
-    def part(name: str, df: DataFrame) -> DataFrame:
-        n = df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("unique_keys"))
-        return n.select(F.lit(name).alias("part"), "rows", "unique_keys", (F.col("rows") - F.col("unique_keys")).alias("repeated_rows"))
-
-    both = left.select(key).join(right.select(key), key)
-    return part("left", left.where(F.col(key).isNotNull())).unionByName(part("right", right.where(F.col(key).isNotNull()))).unionByName(part("intersection", both))

@@ -443,6 +443,14 @@ def _listed(alias: str, source: str) -> str:
     return f"(SELECT coalesce(string_agg(n, '|' ORDER BY n), '') FROM (SELECT DISTINCT n.name AS n FROM {source})) AS {alias}"
 
 
+def _first(owner: str, *names: str) -> str:
+    """The first of the members that is a text with something in it."""
+    each = ", ".join(f"CASE WHEN json_type({owner} -> '{n}') = 'VARCHAR' THEN nullif({c.strip(f'({owner} ->> {sqltext.lit(n)})')}, '') END" for n in names)
+    return f"coalesce({each})" if len(names) > 1 else each
+
+
+_KINDS = "(" + ", ".join(sqltext.lit(x) for x in ontology.ENTITY_TYPES if x != "Paper") + ")"
+_RELATIONS = "(" + ", ".join(sqltext.lit(x) for x in ontology.RELATION_TYPES if x != ontology.PROVENANCE) + ")"
 _REC = f"""WITH map_(relation, field) AS (VALUES ('USES_LINKER', 'linker'), ('USES_PRECURSOR', 'metal_precursor'), ('IN_SOLVENT', 'solvent'), ('SYNTHESIZED_BY', 'synthesis_method'), ('AT_CONDITION', 'temperature')),
     kinds(field, kind) AS (VALUES ('linker', 'OrganicLinker'), ('metal_precursor', 'MetalPrecursor'), ('solvent', 'Solvent'), ('synthesis_method', 'SynthesisMethod'), ('temperature', 'Condition')),
     ours AS (SELECT passage_id AS paper_id, field, object_name AS v FROM {_P} JOIN map_ USING (relation) WHERE passage_id IS NOT NULL),
@@ -486,6 +494,17 @@ ORACLES = {
     "ref_a5_skipped": f"SELECT coalesce(relation, '(none)') AS relation, count(*) AS n FROM (SELECT relation FROM {_P} UNION ALL SELECT relation FROM {_G}) WHERE relation IS NULL OR relation NOT IN {_SCORED} GROUP BY 1",
     "ref_a5_passages": f"SELECT count(*) AS n_passages FROM (SELECT DISTINCT source_paper_id, source_section FROM (SELECT source_paper_id, source_section, relation FROM {_P} UNION ALL SELECT source_paper_id, source_section, relation FROM {_G}) WHERE relation IN {_SCORED})",
     "ref_f8_candidates": f"{_PAIRS} SELECT extractor, relation, count(*) AS n_pairs, round(sum(score), 4) AS total FROM scored WHERE score > 0 GROUP BY ALL",
+    "ref_l7_replies": f"""WITH valid AS (SELECT line_no, CAST(payload AS JSON) AS v FROM raw_lines WHERE json_valid(payload)),
+        shaped AS (SELECT line_no, CASE json_type(v) WHEN 'ARRAY' THEN v WHEN 'OBJECT' THEN coalesce({', '.join(f"CASE WHEN json_type(v -> '{k}') = 'ARRAY' THEN v -> '{k}' END" for k in model_extract.LIST_KEYS)}, CASE WHEN list_contains(json_keys(v), 'relation') THEN json_array(v) END) END AS held,
+            CAST(json_type(v) <> 'ARRAY' AS INTEGER) AS told FROM valid WHERE json_type(v) <> 'NULL'),
+        els AS (SELECT line_no, held -> CAST('$[' || i || ']' AS VARCHAR) AS el FROM (SELECT line_no, held, unnest(range(CAST(json_array_length(held) AS BIGINT))) AS i FROM shaped WHERE held IS NOT NULL)),
+        read_ AS (SELECT line_no, el, regexp_replace(upper({_first('el', 'relation', 'predicate', 'type')}), '[ -]', '_', 'g') AS rel, {_first("el -> 'subject'", 'type', 'entity_type', 'label')} AS st, {_first("el -> 'subject'", 'name', 'text', 'value')} AS sn,
+            {_first("el -> 'object'", 'type', 'entity_type', 'label')} AS ot, {_first("el -> 'object'", 'name', 'text', 'value')} AS o_n, {_first('el', 'evidence', 'sentence')} AS ev, lower({_first('el', 'confidence')}) AS conf FROM els),
+        ends AS (SELECT *, CAST(coalesce(json_type(el -> 'subject') <> 'OBJECT', true) OR st IS NULL OR sn IS NULL OR st NOT IN {_KINDS} AS INTEGER) + CAST(coalesce(json_type(el -> 'object') <> 'OBJECT', true) OR ot IS NULL OR o_n IS NULL OR ot NOT IN {_KINDS} AS INTEGER) AS bad FROM read_),
+        judged AS (SELECT e.line_no, CASE WHEN json_type(el) <> 'OBJECT' OR rel IS NULL OR rel NOT IN {_RELATIONS} THEN 1 WHEN bad > 0 THEN bad WHEN w.relation IS NOT NULL AND (st <> from_type OR ot <> to_type) THEN 1 WHEN ev IS NULL THEN 1 ELSE 0 END AS wrong,
+            CAST(list_contains(json_keys(el), 'confidence') AND coalesce(conf, '') NOT IN ('high', 'medium', 'low') AS INTEGER) AS unsure FROM ends e LEFT JOIN ontology w ON w.relation = e.rel),
+        per AS (SELECT line_no, count(*) FILTER (wrong = 0) AS good, sum(CASE WHEN wrong > 0 THEN wrong ELSE unsure END) AS codes FROM judged GROUP BY line_no)
+        SELECT r.line_no, CAST(coalesce(good, 0) AS INTEGER) AS n_triples, CAST(coalesce(told, 1) + coalesce(codes, 0) AS INTEGER) AS n_errors FROM raw_lines r LEFT JOIN shaped USING (line_no) LEFT JOIN per USING (line_no)""",
     "ref_f9_relaxed": f"{_MATCHED} {_CELLS} SELECT extractor, relation, tp, fp, fn, round({_PR}, 6) AS precision, round({_RE}, 6) AS recall, round({_F1}, 6) AS f1, tp + fn AS support FROM counts",
     "ref_t7_examples": f"""{_MATCHED} used AS (SELECT extractor, unnest(list_transform(m, lambda q: q.p)) AS pid FROM folded)
         SELECT extractor, relation, line_no, CAST(triple_ix AS INTEGER) AS triple_ix, subject_name, object_name FROM p WHERE line_no * 1000000 + triple_ix NOT IN (SELECT pid FROM used)

@@ -38,7 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/passagekg/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    application = spark.sparkContext.applicationId
+    if application not in _WRITTEN:  # registered after the session's own handlers, so it runs before them
+        atexit.register(_release_at_exit, spark)
+    _WRITTEN.setdefault(application, []).append(path)
     return path
 
 
@@ -69,16 +72,12 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
-def _release_at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        try:
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
             release(spark)
-        except Exception:  # the application is gone already
-            pass
-
-
-atexit.register(_release_at_exit)
+    except Exception:  # the application is gone already
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

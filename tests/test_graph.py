@@ -101,3 +101,11 @@ def test_empty_and_written(spark, g, tmp_path):
     assert tuple(graph.graph_stats(none).first()) == (0, 0, 0) and graph.node_breakdown(none).count() == 0 and graph.solvent_temperature_by_linker(none).count() == 0
     graph.write(g, str(tmp_path / "g"))
     assert graph.read(spark, str(tmp_path / "g")).edges.count() == g.edges.count()
+
+
+def test_writer_is_the_callers(spark, sf):
+    from passagekg.plans.graph_queries import _graph
+
+    held = {}
+    graph.write(_graph(spark, sf), lambda name, df: held.__setitem__(name, df.columns))
+    assert list(held) == ["papers", "nodes", "edges", "mentions"] and held["nodes"] == ["label", "key", "name", "aliases"]
