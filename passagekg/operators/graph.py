@@ -91,6 +91,18 @@ def build(triples: DataFrame, papers: DataFrame, staged: bool = False) -> Graph:
     return Graph(node_table(rows), edge_table(rows), mention_table(rows), paper_table(rows, papers))
 
 
+def outline(triples: DataFrame) -> Graph:
+    """The graph without what its edges and mentions say: names, ends and papers, keyed once, for queries over its shape.
+
+    Evidence and the like, most of a triple's bytes, are neither read nor written.
+    """
+    rows = load_rows(triples).select("ord", "paper_id", "relation", "subject_type", "subject_name", "src_key", "object_type", "object_name", "dst_key", "reason")
+    rows = accepted(stage_table(rows, "graph-outline"))  # a filter before would go below the keys and compute them again
+    edges = rows.select(F.col("subject_type").alias("src_label"), "src_key", F.col("relation").alias("rel"), F.col("object_type").alias("dst_label"), "dst_key").distinct()
+    ends = [rows.select(F.col(f"{side}_type").alias("label"), F.col(key).alias("key"), "paper_id") for side, key in (("subject", "src_key"), ("object", "dst_key"))]
+    return Graph(node_table(rows), edges, ends[0].unionByName(ends[1]).distinct(), rows.select("paper_id").distinct())
+
+
 def load_stats(triples: DataFrame) -> DataFrame:
     """Totals of a load, one row."""
     r = load_rows(triples)
@@ -197,13 +209,63 @@ def method_distribution(g: Graph) -> DataFrame:
     return named.orderBy(F.desc("n_papers"), F.desc("n_mofs"), "method")
 
 
+def _bit_sets(pairs: DataFrame, owner: str, member: str) -> DataFrame:
+    """(owner, word, bits): the members of every owner as words of 64 bits, so that unions are ``bit_or`` over few rows."""
+    ids = stage_table(pairs.select(member).distinct().withColumn("_id", F.monotonically_increasing_id()), "members")
+    bit = F.expr("shiftleft(1L, CAST(_id & 63 AS INT))")
+    return pairs.join(ids, member).groupBy(owner, F.shiftright("_id", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _union_sizes(sets: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Distinct members over all words of a key."""
+    return sets.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits")).groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias(out))
+
+
 def precursor_linker_pairs(g: Graph, limit: int = 50) -> DataFrame:
-    """K3."""
-    pairs = _of_mof(g, "USES_PRECURSOR", "pk", "MetalPrecursor").join(_of_mof(g, "USES_LINKER", "lk", "OrganicLinker"), "mof")
-    pairs = pairs.join(_names(g, "MetalPrecursor", "pk", "precursor"), "pk").join(_names(g, "OrganicLinker", "lk", "linker"), "lk")
-    p = g.mentions.where(F.col("label") == "MOF").select(F.col("key").alias("mof"), "paper_id")
-    done = pairs.select("mof", "precursor", "linker").distinct().join(p, "mof").groupBy("precursor", "linker").agg(F.countDistinct("mof").alias("n_mofs"), F.countDistinct("paper_id").alias("n_papers"))
-    return done.orderBy(F.desc("n_papers"), F.desc("n_mofs"), "precursor", "linker").limit(limit)
+    """K3: frameworks and papers per (precursor, linker), most papers first.
+
+    A framework of many names would multiply its precursors by its linkers by its papers. So pairs of the commonest ends are
+    counted first; the ``limit``-th of them settles which others can be among the first rows, and only their papers are
+    counted, as bit sets. A pair has at most the papers and frameworks of either end, and the papers of its frameworks added
+    up; one that may equal that row is kept, so the cut is exact.
+    """
+    pre, lin = _of_mof(g, "USES_PRECURSOR", "pk", "MetalPrecursor"), _of_mof(g, "USES_LINKER", "lk", "OrganicLinker")
+    both = pre.select("mof").distinct().join(lin.select("mof").distinct(), "mof")
+    papers = g.mentions.where(F.col("label") == "MOF").select(F.col("key").alias("mof"), "paper_id")
+    papers = stage_table(_bit_sets(stage_table(papers.join(both, "mof"), "pair-papers"), "mof", "paper_id"), "pair-bits")
+    sizes = _union_sizes(papers, ["mof"], "n")
+    pre, lin = stage_table(pre.join(sizes, "mof"), "pair-precursors"), stage_table(lin.join(both, "mof"), "pair-linkers")
+    total = papers.groupBy("word").agg(F.bit_or("bits").alias("bits")).agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))).first()[0]
+    bound = lambda n: F.struct(F.least(F.sum(n), F.lit(total)).alias("papers"), F.count("*").alias("mofs")).alias("most")
+
+    def met(pk: DataFrame, lk: DataFrame) -> DataFrame:
+        return pre.join(pk.select("pk"), "pk").join(lin.join(lk.select("lk"), "lk"), "mof").groupBy("pk", "lk").agg(bound("n"))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        pairs = stage_table(pairs.select("pk", "lk", F.col("most.mofs").alias("n_mofs"), F.monotonically_increasing_id().alias("id")), "pairs")
+        of = pairs.select("id", "pk", "lk").join(pre, "pk").join(lin, ["mof", "lk"]).select("id", "mof")
+        return pairs.join(_union_sizes(of.join(papers, "mof"), ["id"], "n_papers"), "id")
+
+    def floor(pairs: DataFrame) -> tuple[int, int]:
+        """(papers, frameworks) that the last of the first ``limit`` rows has at least, by the pairs with the highest bounds."""
+        rows = counted(pairs.orderBy(F.desc("most"), "pk", "lk").limit(4 * limit)).select(F.struct("n_papers", "n_mofs").alias("row")).orderBy(F.desc("row")).limit(limit)
+        last = rows.agg(F.count("*").alias("n"), F.min("row").alias("row")).first()
+        return (last.row.n_papers, last.row.n_mofs) if limit and last.n == limit else (0, 0)
+
+    def reaches(least: tuple[int, int], *papers: str):
+        return F.struct(F.least("most.papers", *papers) if papers else F.col("most.papers"), F.col("most.mofs")) >= F.struct(*[F.lit(x).cast("bigint") for x in least])
+
+    def within(key: str, ends: DataFrame, pairs: DataFrame, out: str) -> DataFrame:
+        return _union_sizes(ends.join(pairs.select(key).distinct(), key).join(papers, "mof"), [key], out)
+
+    pks, lks = pre.groupBy("pk").agg(bound("n")), lin.join(sizes, "mof").groupBy("lk").agg(bound("n"))
+    at = floor(met(pks.orderBy(F.desc("most"), "pk").limit(limit), lks.orderBy(F.desc("most"), "lk").limit(limit)))
+    pairs = stage_table(met(pks.where(reaches(at)), lks.where(reaches(at))).where(reaches(at)), "pair-bounds")
+    at = max(at, floor(pairs))
+    pairs = pairs.where(reaches(at))
+    pairs = pairs.join(within("pk", pre, pairs, "pn"), "pk").join(within("lk", lin, pairs, "ln"), "lk").where(reaches(at, "pn", "ln"))
+    done = counted(pairs).join(_names(g, "MetalPrecursor", "pk", "precursor"), "pk").join(_names(g, "OrganicLinker", "lk", "linker"), "lk")
+    return done.select("precursor", "linker", "n_mofs", "n_papers").orderBy(F.desc("n_papers"), F.desc("n_mofs"), "precursor", "linker").limit(limit)
 
 
 def mof_full_record(g: Graph, mof_key: str = "hkust-1") -> DataFrame:

@@ -34,6 +34,10 @@ def _graph(spark, sf, staged: bool = False, rows_once: bool = False) -> graph.Gr
     return g
 
 
+def _outline(spark, sf) -> graph.Graph:
+    return graph.outline(graph.with_ordinal(_pred(spark, sf)))
+
+
 # -- scans and checks --
 
 
@@ -273,7 +277,7 @@ def k2(spark, sf):
 
 
 def k3(spark, sf):
-    return graph.precursor_linker_pairs(_graph(spark, sf, True))
+    return graph.precursor_linker_pairs(_outline(spark, sf))
 
 
 _K4 = "nbx-761"

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,50 @@ def test_k1_matches_brute_force(spark, limit):
     assert got == brute_k1(rows, limit)
 
 
+def brute_k3(rows, limit):
+    pre, lin, papers, out = {}, {}, {}, {}
+    for _, _, paper, _, _, rel, _, s, _, o, _, _ in rows:
+        papers.setdefault(s, set()).add(paper)
+        {"USES_PRECURSOR": pre, "USES_LINKER": lin}.get(rel, {}).setdefault(s, set()).add(o)
+    for mof in pre.keys() & lin.keys():
+        for pair in itertools.product(pre[mof], lin[mof]):
+            mofs, seen = out.setdefault(pair, (set(), set()))
+            mofs.add(mof)
+            seen |= papers[mof]
+    return sorted(((*pair, len(m), len(p)) for pair, (m, p) in out.items()), key=lambda r: (-r[3], -r[2], r[:2]))[:limit]
+
+
+@pytest.mark.parametrize(("limit", "n_papers"), [(1, 150), (3, 6), (10, 150), (500, 90), (0, 9)])
+def test_k3_matches_brute_force(spark, limit, n_papers):
+    import random
+
+    rng = random.Random(n_papers)
+    ends = {"USES_PRECURSOR": ("MetalPrecursor", "metal{}x", 7), "USES_LINKER": ("OrganicLinker", "linker{}x", 6), "HAS_PROPERTY": ("Property", "area {}", 40)}
+    rows = []
+    for i in range(400):
+        rel = rng.choice(list(ends))
+        ot, o, k = ends[rel]
+        rows.append((i, 0, f"P{rng.randint(1, n_papers)}", "S", "x", rel, "MOF", f"mof-{int(14 * rng.random() ** 2)}", ot, o.format(rng.randint(1, k)), "e", "high"))
+    t = graph.with_ordinal(spark.createDataFrame(rows, COLS))
+    assert [tuple(r) for r in graph.precursor_linker_pairs(graph.outline(t), limit).collect()] == brute_k3(rows, limit)
+
+
+def test_k3_of_a_framework_of_many_names(spark):
+    # 150 precursors, 150 linkers and 3000 papers of one framework: 67.5 million rows, had they met
+    rows = [(i, 0, f"P{i}", "S", "x", rel, "MOF", "mof-1", ot, f"{ot}{i % 300:03d}x", "e", "high") for i in range(1500, 4500) for rel, ot in [("USES_PRECURSOR", "MetalPrecursor") if i % 2 else ("USES_LINKER", "OrganicLinker")]]
+    g = graph.outline(graph.with_ordinal(spark.createDataFrame(rows, COLS)))
+    got = graph.precursor_linker_pairs(g, 2)
+    assert [tuple(r) for r in got.collect()] == [("MetalPrecursor001x", "OrganicLinker000x", 1, 3000), ("MetalPrecursor001x", "OrganicLinker002x", 1, 3000)]
+
+
+def test_outline_has_the_graphs_shape(spark, g):
+    o = graph.outline(graph.with_ordinal(spark.createDataFrame(ROWS, COLS)))
+    for name, cols in (("nodes", ["label", "key", "name"]), ("edges", ["src_label", "src_key", "rel", "dst_label", "dst_key"]), ("mentions", ["label", "key", "paper_id"]), ("papers", ["paper_id"])):
+        assert sorted(map(str, getattr(o, name).select(cols).collect())) == sorted(map(str, getattr(g, name).select(cols).collect()))
+    empty = graph.outline(graph.with_ordinal(spark.createDataFrame([], COLS)))
+    assert graph.precursor_linker_pairs(empty).count() == 0
+
+
 def test_empty_and_written(spark, g, tmp_path):
     none = graph.build(graph.with_ordinal(spark.createDataFrame([], COLS)), spark.createDataFrame([], PAPERS))
     assert tuple(graph.graph_stats(none).first()) == (0, 0, 0) and graph.node_breakdown(none).count() == 0 and graph.solvent_temperature_by_linker(none).count() == 0
