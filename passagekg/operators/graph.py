@@ -145,26 +145,20 @@ def solvent_temperature_by_linker(g: Graph, limit: int = 50) -> DataFrame:
     """K1: frameworks per (linker, solvent, condition), the most common first.
 
     Solvents and conditions hang on shared routes, so naively every route multiplies its solvents by its conditions
-    by its frameworks. Here solvents (conditions) attached to the same set of routes are one class; a pair of
-    classes matters only through the routes they share, and frameworks are counted once per (linker, shared set).
-    Names are expanded last. Of each class only the first ``limit`` names can appear among the first ``limit``
-    rows, as every later name has that many before it with the same count, so the cut is exact.
+    by its frameworks. Here the frameworks of (linker, route) are bit sets. A row has at most the frameworks that its linker
+    has with its solvent and with its condition; rows of the commonest of these are counted first, and the ``limit``-th of
+    them settles which others can be among the first rows. One that may equal it is kept, so the cut is exact.
     """
     per = _of_mof(g, "USES_LINKER", "linker_key", "OrganicLinker").join(_of_mof(g, "SYNTHESIZED_BY", "method", "SynthesisMethod"), "mof")
     per = stage_table(per.join(_names(g, "OrganicLinker", "linker_key", "linker"), "linker_key").select("mof", "method", "linker").distinct(), "linker-frameworks")
     routes = per.select("method").distinct()
     sizes = per.groupBy("linker", "method").agg(F.count("*").alias("n"))
 
-    def names(rel: str, label: str) -> DataFrame:
+    def names(rel: str, label: str, out: str) -> DataFrame:
         named = _of_method(g, rel, "k", label).join(_names(g, label, "k", "name"), "k").select("method", "name").distinct()
-        return routes.join(named, "method", "left").withColumn("name", F.coalesce("name", F.lit("unspecified")))
+        return routes.join(named, "method", "left").select("method", F.coalesce("name", F.lit("unspecified")).alias(out))
 
-    def classes(full: DataFrame, out: str) -> DataFrame:
-        """(out_set: sorted routes, out_names: first names) of every class, 'unspecified' for routes without any."""
-        sets = full.groupBy("name").agg(F.array_sort(F.collect_set("method")).alias(f"{out}_set"))
-        return sets.groupBy(f"{out}_set").agg(F.slice(F.array_sort(F.collect_list("name")), 1, limit).alias(f"{out}_names"))
-
-    solvents, conditions = names("IN_SOLVENT", "Solvent"), names("AT_CONDITION", "Condition")
+    solvents, conditions = stage_table(names("IN_SOLVENT", "Solvent", "solvent"), "linker-solvents"), stage_table(names("AT_CONDITION", "Condition", "condition"), "linker-conditions")
     # a linker gives a row with at least as many frameworks for every solvent and condition of its largest route, so the
     # first ``limit`` rows are settled to be no smaller than the route with which that many rows are reached
     rows_of = solvents.groupBy("method").agg(F.count("*").alias("a")).join(conditions.groupBy("method").agg(F.count("*").alias("b")), "method").select("method", (F.col("a") * F.col("b")).alias("rows"))
@@ -173,29 +167,28 @@ def solvent_temperature_by_linker(g: Graph, limit: int = 50) -> DataFrame:
     reached = first.withColumn("sum", F.sum("rows").over(Window.orderBy(F.desc("n"), "method").rowsBetween(Window.unboundedPreceding, 0)))  # at most ``limit`` rows
     floor = reached.agg(F.coalesce(F.max(F.when(F.col("sum") >= limit, F.col("n"))), F.lit(0)).alias("floor")).first().floor
     totals = per.groupBy("linker").agg(F.countDistinct("mof").alias("total"))
-    sizes = sizes.join(totals.where(F.col("total") >= floor).select("linker"), "linker")
-    # only routes of such linkers matter
-    near = stage_table(sizes, "linker-sizes")
-    used = near.select("method").distinct()
-    s, c = classes(solvents.join(used, "method"), "s"), classes(conditions.join(used, "method"), "c")
-    meet = s.select("s_set", F.explode("s_set").alias("m")).join(c.select("c_set", F.explode("c_set").alias("m")), "m").select("s_set", "c_set").distinct()
-    meet = meet.withColumn("shared", F.array_intersect("s_set", "c_set"))
-    meet = stage_table(meet.withColumn("sid", F.sha1(F.array_join("shared", "\u0001"))), "linker-classes")
-    sets = meet.select("sid", "shared").dropDuplicates(["sid"]).select("sid", F.explode("shared").alias("method"))
-    # a union is at most the sum of its parts; of a shared set a linker sees only its own routes, so few sets are left to count
-    seen = sets.join(near, "method").groupBy("linker", "sid").agg(F.sum("n").alias("most"), F.max("n").alias("least"), F.array_sort(F.collect_set("method")).alias("own"))
-    seen = stage_table(seen.where(F.col("most") >= floor).withColumn("rid", F.sha1(F.array_join("own", "\u0001"))), "linker-bounds")
-    distinct = seen.groupBy("linker", "rid").agg(F.first("own").alias("own"), F.max("least").alias("least"))
-    single = distinct.where(F.size("own") == 1).select("linker", "rid", F.col("least").alias("n_mofs"))
-    joint = distinct.where(F.size("own") > 1).select("linker", "rid", F.explode("own").alias("method")).join(per, ["linker", "method"]).groupBy("linker", "rid").agg(F.countDistinct("mof").alias("n_mofs"))
-    counted = stage_table(seen.select("linker", "sid", "rid").join(single.unionByName(joint), ["linker", "rid"]).select("linker", "sid", "n_mofs"), "linker-counts")
-    last = counted.orderBy(F.desc("n_mofs")).limit(limit).agg(F.min("n_mofs").alias("floor"))
-    kept = counted.join(F.broadcast(last), F.col("n_mofs") >= F.col("floor")).drop("floor")
-    pairs = kept.join(meet, "sid").join(s, "s_set").join(c, "c_set")
-    rows = pairs.select("linker", "shared", "n_mofs", F.explode("s_names").alias("solvent"), "c_names").select("linker", "shared", "n_mofs", "solvent", F.explode("c_names").alias("condition"))
-    first = rows.orderBy(F.desc("n_mofs"), "linker", "solvent", "condition").limit(limit)
-    named = per.join(_names(g, "MOF", "mof", "mof_name"), "mof")
-    shown = first.withColumn("method", F.explode("shared")).join(named, ["method", "linker"]).groupBy("linker", "solvent", "condition", "n_mofs")
+    near = per.join(totals.where(F.col("total") >= floor).select("linker"), "linker")  # only routes of such linkers matter
+    bits = stage_table(_bit_sets(near.withColumn("own", F.struct("linker", "method")), "own", "mof").select("own.*", "word", "bits"), "linker-bits")
+
+    def bounds(of: DataFrame, name: str) -> DataFrame:
+        return stage_table(_union_sizes(bits.join(of, "method"), ["linker", name], f"{name}_n").where(F.col(f"{name}_n") >= floor), f"linker-{name}")
+
+    by_solvent, by_condition = bounds(solvents, "solvent"), bounds(conditions, "condition")
+    most = F.least("solvent_n", "condition_n")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        rows = stage_table(rows.select("linker", "solvent", "condition", F.monotonically_increasing_id().alias("id")), "linker-rows")
+        of = rows.join(solvents, "solvent").join(conditions, ["condition", "method"]).select("id", "linker", "method")
+        return rows.join(_union_sizes(of.join(bits, ["linker", "method"]), ["id"], "n_mofs"), "id")
+
+    common = [x.orderBy(F.desc(f"{name}_n"), "linker", name).limit(limit) for x, name in ((by_solvent, "solvent"), (by_condition, "condition"))]
+    some = counted(common[0].join(common[1], "linker").orderBy(F.desc(most), "linker", "solvent", "condition").limit(4 * limit))
+    last = some.orderBy(F.desc("n_mofs")).limit(limit).agg(F.count("*").alias("rows"), F.min("n_mofs").alias("n")).first()
+    floor = max(floor, last.n) if limit and last.rows == limit else floor
+    kept = counted(by_solvent.where(F.col("solvent_n") >= floor).join(by_condition.where(F.col("condition_n") >= floor), "linker"))
+    first = stage_table(kept.orderBy(F.desc("n_mofs"), "linker", "solvent", "condition").limit(limit), "linker-first")
+    named = per.join(first.select("linker").distinct(), "linker").join(_names(g, "MOF", "mof", "mof_name"), "mof")
+    shown = first.join(solvents, "solvent").join(conditions, ["condition", "method"]).join(named, ["method", "linker"]).groupBy("linker", "solvent", "condition", "n_mofs")
     done = shown.agg(F.slice(F.array_sort(F.collect_set("mof_name")), 1, 5).alias("example_mofs"))
     return done.orderBy(F.desc("n_mofs"), "linker", "solvent", "condition")
 

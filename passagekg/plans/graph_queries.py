@@ -269,7 +269,7 @@ def a20_load(spark, sf):
 
 
 def k1(spark, sf):
-    return graph.solvent_temperature_by_linker(_graph(spark, sf, True)).withColumn("example_mofs", F.array_join("example_mofs", "|"))
+    return graph.solvent_temperature_by_linker(_outline(spark, sf)).withColumn("example_mofs", F.array_join("example_mofs", "|"))
 
 
 def k2(spark, sf):

@@ -98,6 +98,23 @@ def test_k1_matches_brute_force(spark, limit):
     assert got == brute_k1(rows, limit)
 
 
+def test_k1_meets_only_what_can_be_first(spark, monkeypatch):
+    # solvent i and condition i belong to the routes from i on: all 3,600 pairs of their route sets differ and share a route
+    rows = [(i, 0, "P", "S", "x", rel, "MOF", f"mof-{i}", ot, o, "e", "high") for i in range(60) for rel, ot, o in (("USES_LINKER", "OrganicLinker", "linker1x"), ("SYNTHESIZED_BY", "SynthesisMethod", f"route{i}x"))]
+    rows += [(100 + i, r, "P", "S", "x", rel, "SynthesisMethod", f"route{r}x", ot, o.format(i), "e", "high") for i in range(60) for r in range(i, 60) for rel, ot, o in (("IN_SOLVENT", "Solvent", "solv{}x"), ("AT_CONDITION", "Condition", "{} h"))]
+    staged, stage = {}, graph.stage_table
+
+    def counting(df, name):
+        out = stage(df, name)
+        staged[name] = max(staged.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stage_table", counting)
+    g = graph.build(graph.with_ordinal(spark.createDataFrame(rows, COLS)), spark.createDataFrame([], PAPERS))
+    got = [(r.linker, r.solvent, r.condition, r.n_mofs) for r in graph.solvent_temperature_by_linker(g, 5).collect()]
+    assert got == brute_k1(rows, 5) and max(n for name, n in staged.items() if name in ("linker-rows", "linker-classes")) <= 20
+
+
 def brute_k3(rows, limit):
     pre, lin, papers, out = {}, {}, {}, {}
     for _, _, paper, _, _, rel, _, s, _, o, _, _ in rows:
